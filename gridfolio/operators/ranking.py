@@ -31,16 +31,16 @@ def ordered_rank(
     order: str,
     tie: str = "ticker",
     *,
-    day: str | None = None,
+    small_groups: bool = False,
     slots: int = SLOTS,
     rank: str = "rank",
     total: str = "n",
 ) -> DataFrame:
     """Add the 1-based ascending rank by (order, tie) and the group size.
 
-    ``day`` names the DATE or calendar-position column of ``by`` when the other
-    keys are a bounded list (runs, models, sectors); the slice tables are then
-    broadcast. Without it Spark chooses the join.
+    ``small_groups`` states that the number of groups is bounded (days times a
+    fixed list of runs, models or sectors); the slice tables are then broadcast.
+    Without it Spark chooses the join.
     """
     keys = list(by)
     pair = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"))
@@ -51,7 +51,7 @@ def ordered_rank(
         .agg(F.min("hp").alias("hp"))
     )
     bounds = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("hp.p")).alias("bounds"))
-    hint = F.broadcast if day is not None else (lambda side: side)
+    hint = F.broadcast if small_groups else (lambda side: side)
     cut = F.size(F.filter("bounds", lambda b: b < pair)).alias("slice")
     sliced = df.join(hint(bounds), keys).select(*df.columns, cut)
     counts = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("c"))

@@ -120,7 +120,7 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly membership: the top 80 percent by market cap."""
     caps = market_caps(spark, sf_dir).join(per_day(quarter_dates(spark, sf_dir).select("date"), "date"), "date")
-    ranked = ordered_rank(caps.where(F.col("cap").isNotNull()).select("date", "ticker", "cap"), ["date"], "cap", day="date")
+    ranked = ordered_rank(caps.where(F.col("cap").isNotNull()).select("date", "ticker", "cap"), ["date"], "cap", small_groups=True)
     return ranked.select("date", "ticker", F.when(F.col("rank") * 5 > F.col("n"), 1.0).otherwise(0.0).alias("member"))
 
 
