@@ -25,6 +25,11 @@ def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits) + F.lit(0.0)
 
 
+def significant(col: Column) -> Column:
+    """Nine significant digits, for reports whose values differ much in size."""
+    return F.format_string("%.8e", col).cast("double") + F.lit(0.0)
+
+
 def by_ticker(*extra: str, order: str = "pos") -> WindowSpec:
     return Window.partitionBy(*extra, "ticker").orderBy(order)
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.functions.expr import rounded, trailing
+from gridfolio.functions.expr import rounded, significant, trailing
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators.calendar import rebalance_schedule, rebalance_windows
 from gridfolio.operators.panels import forward_fill
 from gridfolio.plans.portfolio_sql import portfolio_views
 from gridfolio.plans.registry import query
-from gridfolio.plans.views_sql import r
+from gridfolio.plans.views_sql import r, sig
 from gridfolio.sources import tables
+from gridfolio.sources.store import stored
 
 C = F.col
 COSTS = pf.Costs(2.0, 2.0, 15.0)
@@ -26,12 +27,35 @@ def panel(spark, sf, models: list[str]) -> DataFrame:
     return forward_fill(cells, ["open", "cap", *[f"score_{m}" for m in models]])
 
 
-def run(spark, sf, rules: pf.Rules, models=None, freq: str = "M", lag: int = 0, source: DataFrame | None = None) -> pf.Backtest:
+_EVALUATIONS: dict[tuple, pf.Evaluation] = {}
+_PANELS: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    """Drop the tables that queries of one session share."""
+    _EVALUATIONS.clear()
+    _PANELS.clear()
+
+
+def shared_panel(spark, sf) -> DataFrame:
+    """The stored panel of one session; every evaluation of the session reads it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PANELS:
+        _PANELS[key] = stored(panel(spark, sf, ["a", "b", "c"]), "panel")
+    return _PANELS[key]
+
+
+def run(spark, sf, rules: pf.Rules, models=None, freq: str = "M", lag: int = 0) -> pf.Evaluation:
+    """The evaluation of these rules; queries of one session that ask for the same one share it."""
     models = models or {"all": "score_b"}
-    cells = source if source is not None else panel(spark, sf, sorted({c[-1] for c in models.values() if c != "cap"}))
-    cal = tables.bar_calendar(spark, sf)
-    sector = tables.sectors(spark, sf) if rules.sector_neutral else None
-    return pf.evaluate(cells, cal, rebalance_windows(cal, freq, lag), models, rules, sector)
+    key = (spark.sparkContext.applicationId, sf, repr(rules), tuple(models.items()), freq, lag)
+    if key not in _EVALUATIONS:
+        cal = tables.bar_calendar(spark, sf)
+        sector = tables.sectors(spark, sf) if rules.sector_neutral else None
+        _EVALUATIONS[key] = pf.Evaluation(
+            shared_panel(spark, sf), cal, rebalance_windows(cal, freq, lag), models, rules, sector
+        )
+    return _EVALUATIONS[key]
 
 
 BASE = pf.Rules(costs=COSTS)
@@ -51,7 +75,7 @@ portfolio_views("ix", score="cap", quantiles=1, groups=(1,), shorts=(), weightin
 portfolio_views("ms", bps=BPS, min_score=0.1, min_assets=40)
 
 
-def base(spark, sf) -> pf.Backtest:
+def base(spark, sf) -> pf.Evaluation:
     return run(spark, sf, BASE)
 
 
@@ -75,7 +99,7 @@ def pf2(spark, sf):
 @query(
     "pf3_explicit_groups",
     """select entry_date, unnest(list_filter([case when score > m + s then 'hot' end, case when score < m - s then 'cold' end,
-            case when score > 0 then 'up' end], x -> x is not null)) as group_id, ticker
+            case when score > 0 then 'up' end], lambda x: x is not null)) as group_id, ticker
        from (select *, avg(score) over (partition by wid) as m, stddev_samp(score) over (partition by wid) as s
              from pb_cand where score is not null)""",
 )
@@ -105,10 +129,7 @@ def pf4(spark, sf):
                                 from ms_cand group by wid) c on c.wid = w.wid""",
 )
 def pf5(spark, sf):
-    cells = panel(spark, sf, ["b"])
-    windows = pf.run_windows(rebalance_windows(tables.bar_calendar(spark, sf), "M"), cells, {"all": "score_b"})
-    cands = pf.candidates(cells, windows, {"all": "score_b"})
-    return pf.allocation_notes(cands, windows, MINS).select("entry_date", C("n").alias("n_scores"), "note")
+    return run(spark, sf, MINS).notes.select("entry_date", C("n").alias("n_scores"), "note")
 
 
 @query(
@@ -129,24 +150,19 @@ def pf6(spark, sf):
 
 @query("pf7_rebalance_windows", "select signal_date, entry_date, exit_date from fx_win")
 def pf7(spark, sf):
-    cells = panel(spark, sf, ["b"])
-    windows = rebalance_windows(tables.bar_calendar(spark, sf), "M", 1)
-    return pf.run_windows(windows, cells, {"all": "score_b"}).select("signal_date", "entry_date", "exit_date")
+    return run(spark, sf, FIX, lag=1).windows.select("signal_date", "entry_date", "exit_date")
 
 
-@query("pf8_window_payload", f"select entry_date, ticker, {r('score')} as score, {r('cap', 2)} as cap, {r('entry')} as entry_price, {r('exit')} as exit_price from cp_cand")
+@query("pf8_window_payload", f"select entry_date, ticker, {r('score')} as score, {r('cap', 2)} as cap, entry as entry_price, exit as exit_price from cp_cand")
 def pf8(spark, sf):
-    cells = panel(spark, sf, ["b"])
-    models = {"all": "score_b"}
-    windows = pf.run_windows(rebalance_windows(tables.bar_calendar(spark, sf), "M"), cells, models)
-    rows = member_cols(pf.candidates(cells, windows, models, "open"), windows)
-    return rows.select(
+    bt = run(spark, sf, CAP)
+    return member_cols(bt.candidates, bt.windows).select(
         "entry_date", "ticker", rounded(C("score")).alias("score"), rounded(C("cap"), 2).alias("cap"),
-        rounded(C("entry")).alias("entry_price"), rounded(C("exit")).alias("exit_price"),
+        C("entry").alias("entry_price"), C("exit").alias("exit_price"),
     )
 
 
-def weights_of(bt: pf.Backtest) -> DataFrame:
+def weights_of(bt: pf.Evaluation) -> DataFrame:
     return member_cols(bt.positions.where(C("share") > 0), bt.windows).select(
         "entry_date", "group_id", "ticker", rounded(C("share"), 9).alias("weight")
     )
@@ -199,15 +215,15 @@ def pf12(spark, sf):
 
 @query(
     "pf13_position_table",
-    f"""select entry_date, exit_date, gid as group_id, ticker, {r('qty', 4)} as quantity, {r('entry', 4)} as entry_price,
-        {r('xu', 4)} as exit_price, {r('ev', 2)} as entry_value, {r('xv', 2)} as exit_value from pb_tab""",
+    f"""select entry_date, exit_date, gid as group_id, ticker, {sig('qty')} as quantity, entry as entry_price,
+        xu as exit_price, {sig('ev')} as entry_value, {sig('xv')} as exit_value from pb_tab""",
 )
 def pf13(spark, sf):
     t = pf.position_table(base(spark, sf))
     return t.select(
-        "entry_date", "exit_date", "group_id", "ticker", rounded(C("quantity"), 4).alias("quantity"),
-        rounded(C("entry_price"), 4).alias("entry_price"), rounded(C("exit_price"), 4).alias("exit_price"),
-        rounded(C("entry_value"), 2).alias("entry_value"), rounded(C("exit_value"), 2).alias("exit_value"),
+        "entry_date", "exit_date", "group_id", "ticker", significant(C("quantity")).alias("quantity"),
+        "entry_price", "exit_price",
+        significant(C("entry_value")).alias("entry_value"), significant(C("exit_value")).alias("exit_value"),
     )
 
 
@@ -215,7 +231,7 @@ def growth_sql(t: str) -> str:
     return f"select entry_date, exit_date, gid as group_id, {r('f', 9)} as factor from {t}_f"
 
 
-def growth_of(bt: pf.Backtest) -> DataFrame:
+def growth_of(bt: pf.Evaluation) -> DataFrame:
     return bt.growth.select("entry_date", "exit_date", "group_id", rounded(C("factor"), 9).alias("factor"))
 
 
@@ -234,19 +250,13 @@ def pf14_sn(spark, sf):
     return growth_of(run(spark, sf, SN))
 
 
-def paths_of(bt: pf.Backtest, spark, sf, rules: pf.Rules) -> DataFrame:
-    cells = panel(spark, sf, ["b"])
-    days = pf.window_days(cells, bt.windows)
-    return pf.daily_paths(bt.positions, days, pf.raw_growth(bt.positions, rules), rules)
-
-
 @query(
     "pf15_daily_path",
     f"select w.entry_date, p.gid as group_id, p.pos, {r('p.v', 9)} as value from pb_path p join pb_win w on w.wid = p.wid",
 )
 def pf15(spark, sf):
     bt = base(spark, sf)
-    return member_cols(paths_of(bt, spark, sf, BASE), bt.windows).select(
+    return member_cols(bt.paths, bt.windows).select(
         "entry_date", "group_id", "pos", rounded(C("value"), 9).alias("value")
     )
 
@@ -258,7 +268,7 @@ def pf15(spark, sf):
 )
 def pf16(spark, sf):
     bt = base(spark, sf)
-    lows = paths_of(bt, spark, sf, BASE).groupBy("window_id", "group_id").agg(F.min("value").alias("low"))
+    lows = bt.paths.groupBy("window_id", "group_id").agg(F.min("value").alias("low"))
     return member_cols(lows, bt.windows).select(
         "entry_date", "group_id", rounded(C("low"), 9).alias("low"), (C("low") <= 0).cast("int").alias("floored")
     )
@@ -272,8 +282,8 @@ def pf17(spark, sf):
 
 @query(
     "pf18_trades",
-    f"""select t.entry_date, t.exit_date, gid as group_id, {r('cin', 2)} as capital_in, {r('cout', 2)} as capital_out,
-        {r('pr')} as period_return, case when n_pos is null then coalesce(s.note, 'No eligible tickers for this portfolio group.')
+    f"""select t.entry_date, t.exit_date, gid as group_id, {sig('cin')} as capital_in, {sig('cout')} as capital_out,
+        {r('pr')} as period_return, case when n_pos is null or cin <= 0 then coalesce(s.note, 'No eligible tickers for this portfolio group.')
             when n_halted > 0 then 'Held positions for ' || n_halted || ' halted tickers.' end as note
         from ms_trd t left join (select w.wid, case when coalesce(c.n, 0) = 0 then 'No assets met minimum score >= 0.1.'
             when c.n < 5 then 'Not enough assets to form quantiles.'
@@ -282,22 +292,19 @@ def pf17(spark, sf):
             on c.wid = w.wid) s on s.wid = t.wid""",
 )
 def pf18(spark, sf):
-    cells = panel(spark, sf, ["b"])
-    bt = run(spark, sf, MINS, source=cells)
-    cands = pf.candidates(cells, bt.windows, {"all": "score_b"})
-    notes = pf.allocation_notes(cands, bt.windows, MINS)
-    return pf.trade_notes(bt.trades, notes).select(
-        "entry_date", "exit_date", "group_id", rounded(C("capital_in"), 2).alias("capital_in"),
-        rounded(C("capital_out"), 2).alias("capital_out"), rounded(C("period_return")).alias("period_return"), "note",
+    bt = run(spark, sf, MINS)
+    return pf.trade_notes(bt.trades, bt.notes).select(
+        "entry_date", "exit_date", "group_id", significant(C("capital_in")).alias("capital_in"),
+        significant(C("capital_out")).alias("capital_out"), rounded(C("period_return")).alias("period_return"), "note",
     )
 
 
 def equity_sql(t: str, where: str = "true") -> str:
-    return f"select gid as group_id, date, {r('eq', 2)} as equity from {t}_eq where {where}"
+    return f"select gid as group_id, date, {sig('eq')} as equity from {t}_eq where {where}"
 
 
-def equity_of(bt: pf.Backtest) -> DataFrame:
-    return bt.equity.select("group_id", "date", rounded(C("equity"), 2).alias("equity"))
+def equity_of(bt: pf.Evaluation) -> DataFrame:
+    return bt.equity.select("group_id", "date", significant(C("equity")).alias("equity"))
 
 
 @query("pf19_equity", equity_sql("pb", "gid <> 'net'"))
@@ -310,10 +317,10 @@ def pf19_fix(spark, sf):
     return equity_of(run(spark, sf, FIX, lag=1))
 
 
-@query("pf20_dollar_neutral", f"select entry_date, gid as group_id, {r('cin', 2)} as capital_in, {r('cout', 2)} as capital_out from dn_trd")
+@query("pf20_dollar_neutral", f"select entry_date, gid as group_id, {sig('cin')} as capital_in, {sig('cout')} as capital_out from dn_trd")
 def pf20(spark, sf):
     t = run(spark, sf, DN).trades
-    return t.select("entry_date", "group_id", rounded(C("capital_in"), 2).alias("capital_in"), rounded(C("capital_out"), 2).alias("capital_out"))
+    return t.select("entry_date", "group_id", significant(C("capital_in")).alias("capital_in"), significant(C("capital_out")).alias("capital_out"))
 
 
 @query("pf21_net_curve", equity_sql("dn", "gid = 'net'"))
@@ -326,9 +333,8 @@ portfolio_views("pl", bps=BPS, groups=(1, 5))
 
 @query("pf22_leg_display", equity_sql("dn", "gid = 'net'") + " union all " + equity_sql("pl", "gid <> 'net'"))
 def pf22(spark, sf):
-    cells = panel(spark, sf, ["b"])
-    net = equity_of(run(spark, sf, DN, source=cells)).where(C("group_id") == "net")
-    legs = equity_of(run(spark, sf, pf.without_dollar_neutral(DN), source=cells))
+    net = equity_of(run(spark, sf, DN)).where(C("group_id") == "net")
+    legs = equity_of(run(spark, sf, pf.without_dollar_neutral(DN)))
     return net.unionByName(legs)
 
 
@@ -342,12 +348,12 @@ def pf23(spark, sf):
 
 @query(
     "pf26_leg_equity",
-    f"""select case when gid = 'q1' then 'short' else 'long' end as leg, date, {r('sum(eq)', 2)} as equity
+    f"""select case when gid = 'q1' then 'short' else 'long' end as leg, date, {sig('sum(eq)')} as equity
         from pb_eqg group by 1, 2""",
 )
 def pf26(spark, sf):
     legs = pf.leg_equity(base(spark, sf).equity, BASE)
-    return legs.select(C("group_id").alias("leg"), "date", rounded(C("equity"), 2).alias("equity"))
+    return legs.select(C("group_id").alias("leg"), "date", significant(C("equity")).alias("equity"))
 
 
 @query(

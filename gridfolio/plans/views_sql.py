@@ -40,6 +40,11 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def sig(expr: str) -> str:
+    """Nine significant digits, for values of very different size."""
+    return f"(cast(printf('%.8e', cast({expr} as double)) as double) + 0.0)"
+
+
 def _bars(unit: str) -> str:
     return f"""
     select ticker, date,
