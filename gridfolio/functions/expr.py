@@ -27,7 +27,7 @@ def rounded(col: Column, digits: int = 6) -> Column:
 
 def significant(col: Column) -> Column:
     """Nine significant digits, for reports whose values differ much in size."""
-    return F.format_string("%.8e", col).cast("double") + F.lit(0.0)
+    return F.when(col.isNotNull(), F.format_string("%.8e", col).cast("double") + F.lit(0.0))
 
 
 def by_ticker(*extra: str, order: str = "pos") -> WindowSpec:
