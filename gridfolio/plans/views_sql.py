@@ -53,10 +53,10 @@ def _bars(unit: str) -> str:
            sum(l_quantity) as volume, sum(l_extendedprice) as amount,
            sum(l_discount * l_extendedprice) as flow
     from (select *,
-             row_number() over (partition by ticker, date order by l_shipdate, l_orderkey, l_linenumber,
-                 l_partkey, l_extendedprice, l_quantity) as up,
-             row_number() over (partition by ticker, date order by l_shipdate desc, l_orderkey desc,
-                 l_linenumber desc, l_partkey desc, l_extendedprice desc, l_quantity desc) as dn
+             row_number() over (partition by ticker, date order by cast(l_shipdate as date), l_orderkey, l_linenumber,
+                 l_extendedprice, l_quantity) as up,
+             row_number() over (partition by ticker, date order by cast(l_shipdate as date) desc, l_orderkey desc,
+                 l_linenumber desc, l_extendedprice desc, l_quantity desc) as dn
           from (select *, cast(l_suppkey as varchar) as ticker,
                        cast(date_trunc('{unit}', l_shipdate) as date) as date,
                        l_extendedprice / nullif(l_quantity, 0) as price

@@ -14,6 +14,7 @@ from gridfolio.functions.expr import by_ticker, div, trailing
 from gridfolio.operators.calendar import calendar_of, dense_grid, per_day, period_start
 from gridfolio.operators.ranking import ordered_rank
 
+C = F.col
 OHLCV = ["open", "high", "low", "close", "volume"]
 EXTRA = ["amount", "flow"]
 
@@ -23,15 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _line_rows(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
+    """Line items with their period, price and a key that orders them inside a period.
+
+    The key packs (day, order, line, price in cents, quantity) into one decimal. A
+    decimal is a fixed-width buffer, so first and last price stay in the hash
+    aggregate; a struct would force a sort of all raw rows.
+    """
     day = F.to_date("l_shipdate")
+    start = period_start(day, freq)
+    place = F.date_diff(day, start).cast("long") * F.lit(1 << 55) + C("l_orderkey") * F.lit(1 << 6) + C("l_linenumber")
+    size = F.round(C("l_extendedprice") * 100).cast("long") * 1000 + C("l_quantity").cast("long")
+    key = place.cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + size.cast("decimal(16,0)")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("ticker"),
-        period_start(day, freq).alias("date"),
-        div(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("seq"),
-        F.col("l_quantity").alias("qty"),
-        F.col("l_extendedprice").alias("amount"),
-        (F.col("l_discount") * F.col("l_extendedprice")).alias("flow"),
+        C("l_suppkey").cast("string").alias("ticker"),
+        start.alias("date"),
+        div(C("l_extendedprice"), C("l_quantity")).alias("price"),
+        key.cast("decimal(38,0)").alias("seq"),
+        C("l_quantity").alias("qty"),
+        C("l_extendedprice").alias("amount"),
+        (C("l_discount") * C("l_extendedprice")).alias("flow"),
     )
 
 
