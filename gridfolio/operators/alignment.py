@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.functions.expr import by_ticker, div
 from gridfolio.operators.calendar import as_of_date, dense_grid, per_day
 from gridfolio.operators.panels import forward_fill
 
@@ -128,7 +127,3 @@ def value_as_of(curve: DataFrame, targets: DataFrame, value: str = "equity", tar
     at = found.join(per_day(curve.select(C("date").alias("as_of"), C(value).alias("at")), "as_of"), "as_of", "left")
     first = curve.agg(F.min_by(value, "date").alias("f")).scalar()
     return at.select(target, F.coalesce("at", first).alias(value))
-
-
-def change(col: str, *keys: str) -> "F.Column":
-    return div(C(col), F.lag(col).over(by_ticker(*keys))) - 1.0

@@ -22,9 +22,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfolio.sources.store import stored
+
 SLOTS = 64
 
 
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def ordered_rank(
     df: DataFrame,
     by: Sequence[str],
@@ -32,6 +39,7 @@ def ordered_rank(
     tie: str = "ticker",
     *,
     small_groups: bool = False,
+    is_stored: bool = False,
     slots: int = SLOTS,
     rank: str = "rank",
     total: str = "n",
@@ -40,9 +48,12 @@ def ordered_rank(
 
     ``small_groups`` states that the number of groups is bounded (days times a
     fixed list of runs, models or sectors); the slice tables are then broadcast.
-    Without it Spark chooses the join.
+    Without it Spark chooses the join. The rows are read three times, so they are
+    written once first unless ``is_stored`` says that reading them is cheap.
     """
     keys = list(by)
+    if not is_stored:
+        df = stored(df, "ranked-rows")
     pair = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"))
     mixed = F.xxhash64(*[F.col(k) for k in keys], F.col(tie))
     sample = (

@@ -200,7 +200,9 @@ def paired_returns(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def with_sector(positions: DataFrame, sector_cells: DataFrame) -> DataFrame:
     """Sector of each position on its entry date."""
+    dates = positions.select("entry_date").distinct()
     cells = sector_cells.select("ticker", C("date").alias("entry_date"), "sector")
+    cells = cells.join(per_day(dates, "entry_date"), "entry_date", "left_semi")
     return positions.join(cells, ["ticker", "entry_date"], "left")
 
 
@@ -270,6 +272,7 @@ def price_audit(positions: DataFrame, closes: DataFrame, tolerance: float) -> Da
         )
     )
     long = positions.select(*KEY, "ticker", sides.alias("s")).select(*KEY, "ticker", "s.*")
+    price = price.join(per_day(long.select("date").distinct(), "date"), "date", "left_semi")
     joined = long.join(price, ["ticker", "date"]).withColumn("diff", F.abs(C("trade_price") - C("market_price")))
     return joined.where(C("diff") > tolerance)
 

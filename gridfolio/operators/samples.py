@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from gridfolio.functions.expr import by_ticker, div, full_window, trailing
 from gridfolio.operators.calendar import per_day
 
 C = F.col
+POINTS = "array<struct<px:int,py:int>>"
 
 
 # ------------------------------------------------------------------ chart windows
@@ -40,11 +41,14 @@ def valid_starts(rows: DataFrame, intervals: int, names: Sequence[str]) -> DataF
     return rows.where(ok)
 
 
-def chart_windows(rows: DataFrame, intervals: int, names: Sequence[str]) -> DataFrame:
+def chart_windows(
+    rows: DataFrame, intervals: int, names: Sequence[str], extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Start, end and estimation dates over the valid rows of each ticker, with label.
 
     A window is kept when its calendar span holds no gap; the label compares the
-    closes at the two estimation dates.
+    closes at the two estimation dates. ``extra`` columns are aggregates over the
+    rows of the window.
     """
     n, line = intervals, by_ticker()
     price = F.array("open", "high", "low", "close", *names)
@@ -65,6 +69,7 @@ def chart_windows(rows: DataFrame, intervals: int, names: Sequence[str]) -> Data
         F.lead("date", 2 * n).over(line).alias("estimation_end"),
         F.lead("close", 2 * n).over(line).alias("c1"),
         F.lead("pos", 2 * n + 1).over(line).alias("beyond"),
+        *[col.over(ahead).alias(name) for name, col in (extra or {}).items()],
     )
     drawn = steps.where(
         C("beyond").isNotNull()
@@ -75,7 +80,7 @@ def chart_windows(rows: DataFrame, intervals: int, names: Sequence[str]) -> Data
     up = F.coalesce((div(C("c1"), C("c0")) > 1).cast("int"), F.lit(0))
     return drawn.select(
         "ticker", "start_date", "end_date", "estimation_start", "estimation_end", up.alias("label"),
-        C("pos").alias("start_pos"), "end_pos", "first_close", "low_price", "high_price",
+        C("pos").alias("start_pos"), "end_pos", "first_close", "low_price", "high_price", *(extra or {}),
     )
 
 
@@ -92,14 +97,9 @@ def scaled_bars(rows: DataFrame, intervals: int, names: Sequence[str], height: i
     as a short array of ``intervals`` entries.
     """
     vol_h, price_h, offset = chart_heights(height)
-    ahead = by_ticker().rowsBetween(0, intervals - 1)
     fields = ["open", "high", "low", "close", *names]
-    cells = F.struct(*fields, "volume")
-    packed = rows.withColumn("cells", F.collect_list(cells).over(ahead)).withColumn("max_volume", F.max("volume").over(ahead))
-    keep = chart_windows(rows, intervals, names).select(
-        "ticker", C("start_pos").alias("pos"), "start_date", "end_date", "first_close", "low_price", "high_price"
-    )
-    joined = keep.join(packed.select("ticker", "pos", "cells", "max_volume"), ["ticker", "pos"])
+    extra = {"cells": F.collect_list(F.struct(*fields, "volume")), "max_volume": F.max("volume")}
+    joined = chart_windows(rows, intervals, names, extra)
     bars = joined.select("*", F.posexplode("cells").alias("i", "c"))
     base = C("first_close")
     low, high = C("low_price") / base, C("high_price") / base
@@ -112,34 +112,38 @@ def scaled_bars(rows: DataFrame, intervals: int, names: Sequence[str], height: i
 
 
 def pixels(bars: DataFrame, intervals: int, names: Sequence[str], height: int) -> DataFrame:
-    """Sparse drawn pixels (px, py) per window, row 0 at the top."""
+    """Sparse drawn pixels (px, py) per window, row 0 at the top.
+
+    Each bar lists its own points: open and close ticks, the low-high line, the
+    volume line, and the average's segment to the next bar. All of it stays in the
+    partitioning by ticker.
+    """
     key = ["ticker", "start_date", "end_date"]
+    line = Window.partitionBy(*key).orderBy("i")
     x = C("i") * 3
 
-    def dots(px: Column, ys: Column) -> DataFrame:
-        return bars.select(*key, px.alias("px"), F.explode(ys).alias("py"))
+    def point(px: Column, py: Column) -> Column:
+        return F.struct(px.cast("int").alias("px"), py.cast("int").alias("py"))
 
-    parts = [
-        dots(x, F.array("open")),
-        dots(x + 2, F.array("close")),
-        dots(x + 1, F.sequence(F.least("low", "high"), F.greatest("low", "high"))),
-        dots(x + 1, F.sequence(F.lit(0), C("volume"))),
-    ]
-    line = Window.partitionBy(*key).orderBy("i")
-    for n in names:
-        seg = bars.select(*key, "i", C(n).alias("y0"), F.lead(n).over(line).alias("y1")).where(C("y1").isNotNull())
-        steps = F.greatest(F.abs(C("y1") - C("y0")), F.lit(3))
-        stepped = seg.select("*", steps.alias("n"), F.explode(F.sequence(F.lit(0), steps)).alias("k"))
-        parts.append(
-            stepped.select(
-                *key,
-                (x + F.floor(3.0 * C("k") / C("n") + 0.5)).cast("int").alias("px"),
-                (C("y0") + F.floor((C("y1") - C("y0")) * C("k") / C("n") + 0.5)).cast("int").alias("py"),
-            )
+    def upright(lo: Column, hi: Column) -> Column:
+        return F.transform(F.sequence(lo, hi), lambda y: point(x + 1, y))
+
+    def segment(y0: Column, y1: Column) -> Column:
+        steps = F.greatest(F.abs(y1 - y0), F.lit(3))
+        walked = F.transform(
+            F.sequence(F.lit(0), steps),
+            lambda k: point(x + F.floor(3.0 * k / steps + 0.5), y0 + F.floor((y1 - y0) * k / steps + 0.5)),
         )
-    drawn = parts[0]
-    for p in parts[1:]:
-        drawn = drawn.unionByName(p)
+        return F.coalesce(walked, F.array().cast(POINTS))
+
+    ahead = bars.select("*", *[F.lead(n).over(line).alias(f"{n}_next") for n in names])
+    points = F.concat(
+        F.array(point(x, C("open")), point(x + 2, C("close"))),
+        upright(F.least("low", "high"), F.greatest("low", "high")),
+        upright(F.lit(0), C("volume")),
+        *[segment(C(n), C(f"{n}_next")) for n in names],
+    )
+    drawn = ahead.select(*key, F.explode(points).alias("p")).select(*key, "p.px", "p.py")
     inside = drawn.where(C("py").between(0, height - 1) & C("px").between(0, 3 * intervals - 1))
     return inside.select(*key, "px", (height - 1 - C("py")).alias("py")).distinct()
 

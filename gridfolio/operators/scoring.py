@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import div
+from gridfolio.operators.calendar import per_day
 
 C = F.col
 CELL = ["date", "ticker"]
@@ -112,7 +113,7 @@ def ensemble_intersection(results: DataFrame, n_models: int) -> DataFrame:
         return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where(C("m") == n_models).select(key)
 
     kept = cells.where(C("n") == n_models).drop("n")
-    return kept.join(F.broadcast(common("date")), "date", "left_semi").join(common("ticker"), "ticker", "left_semi")
+    return kept.join(per_day(common("date"), "date"), "date", "left_semi").join(common("ticker"), "ticker", "left_semi")
 
 
 def ensemble_cells(results: DataFrame, n_models: int) -> DataFrame:

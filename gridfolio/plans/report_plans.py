@@ -367,6 +367,7 @@ def picks(spark, sf) -> DataFrame:
     bt = base(spark, sf)
     dates = bt.windows.select("window_id", "signal_date", "entry_date", "exit_date")
     cells = sector_cells(spark, sf).select("ticker", C("date").alias("entry_date"), "sector")
+    cells = cells.join(per_day(dates.select("entry_date"), "entry_date"), "entry_date", "left_semi")
     cands = bt.candidates.join(per_day(dates, "window_id"), "window_id").join(cells, ["ticker", "entry_date"])
     out = rp.sector_picks(cands).join(per_day(dates, "window_id"), "window_id")
     return out.select(
@@ -428,6 +429,7 @@ def sector_candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
         cells = sector_cells(spark, sf).select("ticker", C("date").alias("entry_date"), C("sector").alias("run"))
         cands = pf.candidates(panel, one, {"all": "score_b"}).drop("run")
         dates = one.select("window_id", "entry_date")
+        cells = cells.join(per_day(dates.select("entry_date"), "entry_date"), "entry_date", "left_semi")
         placed = cands.join(per_day(dates, "window_id"), "window_id").join(cells, ["ticker", "entry_date"])
         placed = placed.where(C("run").isNotNull()).select("run", "window_id", "ticker", "score", "cap", "entry", "exit")
         pp._PANELS[key] = (stored(windows, "sector-windows"), stored(placed, "sector-candidates"))
