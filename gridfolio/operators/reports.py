@@ -195,6 +195,13 @@ def paired_returns(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(per_day(b, "date"), "date")
 
 
+def tracking(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
+    """Correlation of the paired returns (NULL for a flat curve) and whether it passes."""
+    spread = F.stddev_pop("left_ret") * F.stddev_pop("right_ret")
+    corr = pairs.agg(div(F.covar_pop("left_ret", "right_ret"), spread).alias("correlation"))
+    return corr.withColumn("passed", F.coalesce(C("correlation") > threshold, F.lit(False)).cast("int"))
+
+
 # ------------------------------------------------------------------ positions
 
 
