@@ -180,9 +180,13 @@ def shared_histogram(values: DataFrame, value: str, edges: int = 50) -> DataFram
 
 
 def headline(stats: DataFrame) -> DataFrame:
-    """Best group by pnl, sharpe and win rate, and the primary one (net, else best pnl)."""
+    """Best group by pnl, sharpe and win rate, and the primary one (net, else best pnl).
+
+    A tie goes to the first group; the net curve comes last.
+    """
+    place = [(C("group_id") == "net").alias("n"), F.length("group_id").alias("l"), C("group_id").alias("g")]
     best = stats.groupBy("run").agg(
-        *[F.max_by("group_id", F.struct(C(m), C("group_id"))).alias(f"best_{m}") for m in ("pnl", "sharpe", "win_rate")],
+        *[F.min(F.struct((-C(m)).alias("m"), *place))["g"].alias(f"best_{m}") for m in ("pnl", "sharpe", "win_rate")],
         F.max(C("group_id") == "net").alias("has_net"),
     )
     return best.withColumn("primary", F.when(C("has_net"), "net").otherwise(C("best_pnl"))).drop("has_net")

@@ -217,7 +217,8 @@ def pf29(spark, sf):
 @query(
     "agg20_return_histogram",
     """select gid as group_id, cast(least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) as integer) as bin, count(*) as n from (
-        select *, min(v) over g as lo, max(v) over g as hi, cast(greatest(15, least(40, floor(count(v) over g / 10))) as integer) as bins
+        select *, min(v) over g - case when min(v) over g = max(v) over g then 0.5 else 0 end as lo,
+            max(v) over g + case when min(v) over g = max(v) over g then 0.5 else 0 end as hi, cast(greatest(15, least(40, floor(count(v) over g / 10))) as integer) as bins
         from (select gid, pr * 100 as v from pb_pr) window g as (partition by gid)) group by 1, 2""",
 )
 def agg20(spark, sf):
@@ -227,7 +228,11 @@ def agg20(spark, sf):
 
 @query(
     "agg21_headline_picks",
-    """select arg_max(gid, pnl) as best_pnl, arg_max(gid, sharpe) as best_sharpe, arg_max(gid, win_rate) as best_win_rate, 'net' as "primary" from pb_st""",
+    "select "
+    + ", ".join(
+        f"(select gid from pb_st order by {m} desc, gid = 'net', length(gid), gid limit 1) as best_{m}" for m in ("pnl", "sharpe", "win_rate")
+    )
+    + """, 'net' as "primary\"""",
 )
 def agg21(spark, sf):
     bt = base(spark, sf)
@@ -560,8 +565,9 @@ view("sec_leg", "select run, 'net' as gid, date, eq from sd_eq where gid = 'net'
     "agg20_sector_histogram",
     f"""select run as sector, gid as leg, cast(least(floor((v - lo) / ((hi - lo) / 49)), 48) as integer) as bin, count(*) as n from (
         select run, gid, v, a - (b - a) * 0.05::double as lo, b + (b - a) * 0.05::double as hi from (
-        select *, min(v) over (partition by run) as a, max(v) over (partition by run) as b from (
-        select run, gid, (eq / nullif(lag(eq) over {L}, 0) - 1) * 100 as v from sec_leg))) where v is not null group by 1, 2, 3""",
+        select *, min(v) over p - case when min(v) over p = max(v) over p then 0.1 else 0 end as a,
+            max(v) over p + case when min(v) over p = max(v) over p then 0.1 else 0 end as b from (
+        select run, gid, (eq / nullif(lag(eq) over {L}, 0) - 1) * 100 as v from sec_leg) window p as (partition by run))) where v is not null group by 1, 2, 3""",
 )
 def agg20_sector(spark, sf):
     net = sector_run(spark, sf, SEC).equity.where(C("group_id") == "net").select("run", "group_id", "date", "equity")
