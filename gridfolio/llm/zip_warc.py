@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +96,8 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 256 << 20)
     at ``max_bytes``, so no file grows with its partition.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ({"page_id": None if pd.isna(r["page_id"]) else int(r["page_id"]), "refers_to": None if pd.isna(r["refers_to"]) else int(r["refers_to"])} | {k: r[k] for k in ("url", "payload", "payload_digest", "payload_bytes", "record_type")} for b in batches for r in b.to_dict("records"))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for k in range(0, b.num_rows, 64) for row in b.slice(k, 64).to_pylist())
         row = next(rows, None)
         while row is not None:
             lines, offset = [], 0
@@ -112,9 +113,9 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 256 << 20)
                     with archive.open(zipfile.ZipInfo(INDEX_MEMBER), "w", force_zip64=True) as member:
                         for line in lines:
                             member.write(line.encode() + b"\n")
-            yield pd.DataFrame({"path": [path], "n_records": [len(lines)], "warc_bytes": [offset]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(lines)], "warc_bytes": [offset]})
 
-    return stored(records.mapInPandas(write, "path string, n_records long, warc_bytes long"), "manifest")
+    return stored(records.mapInArrow(write, "path string, n_records long, warc_bytes long"), "manifest")
 
 
 # Reading -------------------------------------------------------------------------
@@ -234,21 +235,21 @@ def record_ranges(members: DataFrame, span: int = 4 << 20) -> DataFrame:
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the archives: directories, then indexes, then ranges of records dealt over all tasks."""
-    columns = [c.split()[0] for c in RECORDS.split(", ")]
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, RECORDS.split(", "))])
     spread = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples():
-                data, at, rows = read_range(r.path, r.offset, int(sum(r.lengths))), 0, []
-                for n in r.lengths:
+            for r in b.to_pylist():
+                data, at, rows = read_range(r["path"], r["offset"], sum(r["lengths"])), 0, []
+                for n in r["lengths"]:
                     row = parse_record(zlib.decompress(data[at : at + n], 31))
                     rows.append(row if payloads else row | {"payload": None})
                     at += n
-                out = pd.DataFrame(rows, columns=columns)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return record_ranges(archive_members(paths)).repartition(spread, "path", "offset").mapInPandas(records, RECORDS)
+    return record_ranges(archive_members(paths)).repartition(spread, "path", "offset").mapInArrow(records, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
