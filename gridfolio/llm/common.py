@@ -58,10 +58,11 @@ def new_file(folder: str, stem: str):
 # Order over the whole table ----------------------------------------------------
 
 
-def in_order(df: DataFrame, key: str, partition: str) -> DataFrame:
-    """Rows range-partitioned and sorted by ``key`` (nulls first); ``partition`` numbers the ranges in order."""
+def in_order(df: DataFrame, keys: list[str], partition: str) -> DataFrame:
+    """Rows range-partitioned and sorted by ``keys`` (nulls first); ``partition`` numbers the ranges in order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first()).withColumn(partition, F.spark_partition_id())
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(partition, F.spark_partition_id())
 
 
 def running_totals(df: DataFrame, partition: str, amounts: dict[str, str]) -> DataFrame:

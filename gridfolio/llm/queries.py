@@ -40,3 +40,11 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id < last then last end as refers_to
 from r
 """
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness to both neighbours."""
+    from gridfolio.llm.simhash import fingerprints_with_edits
+
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
