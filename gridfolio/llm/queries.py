@@ -48,3 +48,35 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfolio.llm.simhash import fingerprints_with_edits
 
     return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    from gridfolio.llm.dart_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).selectExpr("id as doc_id", "class_id", "id = class_id as kept")
+
+
+CHECKS["op4_dart_minhash"] = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents
+), runs as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0
+), shingles as (
+  select doc_id, hash(array_to_string(w[i:i + 4], ' ')) as s, count(*) as n from runs group by all
+), sizes as (
+  select doc_id, sum(n) as total from shingles group by all
+), common as (
+  select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as shared
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+  where shared >= 0.8 * (x.total + y.total - shared)
+), sides as (
+  select a, b from links union all select b, a from links
+), reached(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, s.b from reached r join sides s on r.other = s.a
+)
+select doc_id, min(other) as class_id, doc_id = min(other) as kept from reached group by doc_id
+"""
