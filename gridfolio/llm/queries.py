@@ -80,3 +80,29 @@ with recursive words as (
 )
 select doc_id, min(other) as class_id, doc_id = min(other) as kept from reached group by doc_id
 """
+
+
+@query
+def op10_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every embedding to others of its label, and its component."""
+    from gridfolio.llm.pstable import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+CHECKS["op10_pstable"] = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), u as (
+  select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v where list_inner_product(e, e) > 0
+), links as (
+  select x.vec_id as a, y.vec_id as b from u x join u y on x.label = y.label and x.vec_id <> y.vec_id
+  where list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.93
+), reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reached r join links l on r.other = l.a
+), components as (select vec_id, min(other) as component_id from reached group by vec_id),
+counts as (select a, count(*) as n from links group by a)
+select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept
+from components c left join counts on c.vec_id = counts.a
+"""
