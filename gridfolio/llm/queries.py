@@ -106,3 +106,11 @@ counts as (select a, count(*) as n from links group by a)
 select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept
 from components c left join counts on c.vec_id = counts.a
 """
+
+
+@query
+def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    from gridfolio.llm.toxic_crf import toxic_documents
+
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
