@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridfolio.llm.common import let_tasks_import, table
 
@@ -114,3 +115,11 @@ def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfolio.llm.toxic_crf import toxic_documents
 
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for the private values in it, and where they are."""
+    from gridfolio.llm.pseudonyms import pseudonyms
+
+    return table(spark, sf_dir, "documents").select("doc_id", pseudonyms(F.col("text")).alias("p")).select("doc_id", "p.text", "p.found")
