@@ -123,3 +123,11 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfolio.llm.pseudonyms import pseudonyms
 
     return table(spark, sf_dir, "documents").select("doc_id", pseudonyms(F.col("text")).alias("p")).select("doc_id", "p.text", "p.found")
+
+
+@query
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document for the production targets."""
+    from gridfolio.llm.soft_mixing import mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
