@@ -131,3 +131,11 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfolio.llm.soft_mixing import mixing_rates
 
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    from gridfolio.llm.viterbi import encoded
+
+    return encoded(table(spark, sf_dir, "documents"))
