@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +175,59 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     return total[whole], owner[whole]
 
 
+# Groups inside tasks -------------------------------------------------------------
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by integer ``keys``, cut so that no group is split, and where each group begins and ends.
+
+    The last group of a batch waits for the next batch, so a task holds one batch and one group.
+    """
+
+    def cut() -> Iterator[pa.Table]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            names = np.stack([now[k].to_numpy() for k in keys])
+            others = np.flatnonzero((names != names[:, -1:]).any(axis=0))
+            n = int(others[-1]) + 1 if len(others) else 0
+            if n:
+                yield now.slice(0, n)
+            rest = now.slice(n)
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    for part in cut():
+        batch = part.combine_chunks().to_batches()[0]
+        names = np.stack([batch.column(k).to_numpy() for k in keys])
+        turns = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        yield batch, np.concatenate([[0], turns, [batch.num_rows]])
+
+
+def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one reachable over the links i - j."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def tile_pairs(places: DataFrame, group: str, row: str, tile: int) -> DataFrame:
+    """(group, row, tile, lo, hi): rows of groups of two or more, dealt into tiles, once for each pair of tiles with their own.
+
+    Every two rows of a group meet in a (group, lo, hi), which holds about two tiles at most whatever the group's size.
+    """
+    sizes = places.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / tile).alias("tiles"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    dealt = places.select(group, row).join(sizes, group).select(group, row, F.pmod(F.xxhash64(row), F.col("tiles")).alias("tile"), other.alias("other"))
+    return dealt.select(group, row, "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+
+
 # Connected components ------------------------------------------------------------
 
 
@@ -184,7 +238,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     and the edges after each step are written to the shared folder. Null ends are ignored.
     """
     now = stored(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -192,9 +245,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         smallest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(smallest, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         now = stored(small.where("a <> b").distinct(), label)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
+        # done when every node is either the root of its edges or points once, at a root
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        seen = state
     # every node now points at the root of its star
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,9 +8,10 @@ probability equal to their weighted Jaccard similarity. Only darts earlier than
 are drawn, so a long text throws hardly more darts than a short one.
 
 Bands of ``ROWS`` coordinates give buckets. Texts are linked where the exact weighted similarity is at least the
-threshold. In each bucket the smallest document is compared with the others; buckets whose documents are then in
-more than one component go on with further pivots until every pair across components has been compared. So
-nothing is capped, no group emits all its pairs, and no link that would join two classes is left out.
+threshold. First the smallest document of each bucket is compared with the others. Buckets whose documents are then
+still in more than one component are dealt into tiles; all pairs of two tiles are compared in one task, as a product
+of matrices, and a document sends one edge to the smallest it reaches. So nothing is capped, no group emits its
+pairs, and no link that would join two classes is left out.
 
 Defined cases: null and wordless texts are copies of nothing; shorter texts have one shingle of all their words;
 rows that share a doc_id are one document, whose texts are all compared; a null doc_id belongs to no class.
@@ -23,17 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.common import GOLDEN, chunks, components, mix, normal_words, shingle_hashes, stored, uniform
+from gridfolio.llm.common import GOLDEN, chunks, components, mix, normal_words, shingle_hashes, smallest_reachable, stored, tile_pairs, uniform, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: 32 bands of 6: a pair of similarity 0.8 shares no bucket with probability 6e-5, one of 0.85 with 3e-7.
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
-PIVOTS = 16
+TILE = 512
 
 
 def weighted_elements(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,6 +115,13 @@ def signed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(sign, "id long, content binary, bands array<long>")
 
 
+def _regions(texts: list[str]) -> list[np.ndarray]:
+    """The sorted names of the unit regions of each normalised text."""
+    names, _, owner = unit_regions(*weighted_elements(texts))
+    names = names[np.lexsort((names, owner))]
+    return np.split(names, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two texts from the sorted names of their unit regions."""
     both = np.intersect1d(a, b, assume_unique=True).size
@@ -123,11 +131,6 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The ``pairs(a, b)`` of which the ``texts(id, text)`` are at least so similar, compared exactly."""
 
-    def regions(texts: list[str]) -> list[np.ndarray]:
-        names, _, owner = unit_regions(*weighted_elements(texts))
-        names = names[np.lexsort((names, owner))]
-        return np.split(names, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = (batch.column(i) for i in range(4))
@@ -135,11 +138,11 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHO
             keep, known = [], {}
             for group in chunks([x.as_py() for x in right.dictionary], 1 << 19):
                 words = [normal_words(right.dictionary[i].as_py()) for i in group]
-                known |= dict(zip(group, regions(words), strict=True))
+                known |= dict(zip(group, _regions(words), strict=True))
             firsts: dict[int, np.ndarray] = {}
             for row, (i, j) in enumerate(zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True)):
                 if i not in firsts:
-                    firsts[i] = regions([normal_words(left.dictionary[i].as_py())])[0]
+                    firsts[i] = _regions([normal_words(left.dictionary[i].as_py())])[0]
                 if similarity(firsts[i], known[j]) >= threshold:
                     keep.append(row)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
@@ -149,6 +152,54 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHO
     return with_a.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
+def overlaps(regions: list[np.ndarray]) -> np.ndarray:
+    """Number of common unit regions of every two texts, as products of 0/1 matrices over blocks of regions."""
+    sizes = [len(r) for r in regions]
+    names, where, often = np.unique(np.concatenate(regions), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(regions)), sizes)
+    shared = often > 1
+    column = np.cumsum(shared) - 1
+    owner, where = owner[shared[where]], column[where[shared[where]]]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    out = np.zeros((len(regions), len(regions)), np.float32)
+    for at in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(where, [at, at + 2048])
+        block = np.zeros((len(regions), 2048), np.float32)
+        block[owner[a:b], where[a:b] - at] = 1
+        out += block @ block.T
+    return out
+
+
+def across(places: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that join what is linked inside the buckets ``places(bucket, id)``: all pairs are compared."""
+    keys = ["bucket", "lo", "hi"]
+    rows = tile_pairs(places, "bucket", "id", TILE).join(texts, "id").select(*keys, "id", "text")
+    spread = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches, keys):
+            ids, found = batch.column("id").to_numpy(), []
+            known: dict[int, np.ndarray] = {}
+            for s, e in zip(edges, edges[1:], strict=False):
+                rows = [int(i) for i in range(s, e)]
+                words = [normal_words(batch.column("text")[i].as_py()) for i in rows if ids[i] not in known]
+                known |= dict(zip([ids[i] for i in rows if ids[i] not in known], _regions(words) if words else [], strict=True))
+                regions = [known[ids[i]] for i in rows]
+                size = np.array([len(r) for r in regions], np.float32)
+                both = overlaps(regions)
+                i, j = np.nonzero(np.triu(both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - 1e-3, 1))
+                exact = both[i, j].astype(np.float64) / (size[i] + size[j] - both[i, j]).astype(np.float64) >= threshold
+                low = smallest_reachable(len(rows), i[exact], j[exact])
+                moved = np.flatnonzero(low != np.arange(len(rows)))
+                found.append((ids[s:e][moved], ids[s:e][low[moved]]))
+                if sum(map(len, known.values())) > 4_000_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return rows.repartition(spread, *keys).sortWithinPartitions(*keys, "id").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of every document with an id; class_id is the smallest id of its class of near copies."""
     rows = stored(signed(documents, id_col, text_col), "signed")
@@ -167,22 +218,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     copies = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = stored(similar_pairs(pairs, texts, threshold).unionByName(copies), "links")
-    left = buckets.select("bucket", "id", F.lit(None).cast("long").alias("after"))  # after: the last pivot so far
-    while True:
-        nodes = stored(components(links), "nodes")
-        placed = left.join(nodes, left["id"] == nodes["node"], "left").select("bucket", "id", "after", F.coalesce("component", "id").alias("component"))
-        spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("id").alias("top"), F.max("after").alias("done"))
-        left = stored(placed.join(spread.where("low < high and (done is null or done < top)").select("bucket"), "bucket"), "open")
-        if left.isEmpty():
-            break
-        # the next pivots of each bucket: at most so many rows per bucket and task reach the window
-        turn = Window.partitionBy("bucket").orderBy("id")
-        pivots = left.where("after is null or id > after").withColumn("n", F.row_number().over(turn)).where(F.col("n") <= PIVOTS)
-        pivots = stored(pivots.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("of")), "pivots")
-        across = left.join(pivots, "bucket").where("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        more = stored(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.unionByName(similar_pairs(more, texts, threshold)), "links")
-        pairs = pairs.unionByName(more)
-        left = left.select("bucket", "id").join(pivots.groupBy("bucket").agg(F.max("pivot").alias("after")), "bucket")
+    nodes = stored(components(links), "nodes")
+    placed = buckets.join(nodes, buckets["id"] == nodes["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    mixed = stored(placed.join(spread, "bucket").select("bucket", "id"), "mixed")
+    more = across(mixed, texts, threshold)
+    roots = nodes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    nodes = components(roots.unionByName(more))
     ids = documents.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     return ids.join(nodes, ids["id"] == nodes["node"], "left").select("id", F.coalesce("component", "id").alias("class_id"))

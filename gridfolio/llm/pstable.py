@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.common import GOLDEN, components, mix, stored
+from gridfolio.llm.common import GOLDEN, components, mix, smallest_reachable, stored, tile_pairs, whole_groups
 
 THRESHOLD = 0.93
 #: At the threshold two unit vectors are 0.374 apart and share a cell of width 2.24 with probability 0.87, a bucket
@@ -79,61 +79,25 @@ def _linked(x: np.ndarray, label: np.ndarray, codes: np.ndarray, table: int, sid
     return i, j, first
 
 
-def _smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        np.minimum.at(low, i, low[j])
-        np.minimum.at(low, j, low[i])
-        low = low[low]
-        if (low == before).all():
-            return low
-
-
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row, n, to) sums: ``n`` links of a row counted in one tile pair, and a linked row ``to`` that joins components."""
     usable = vectors.where("codes is not null").select("row", "label", "vector", "codes")
     bucket = F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     places = usable.select("row", F.posexplode("codes").alias("t", "code")).select("row", bucket.alias("bucket"))
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE))
-    tile = F.pmod(F.xxhash64("row"), F.col("tiles"))
-    # a row goes to every pair of tiles that holds its own
-    pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    dealt = places.join(sizes, "bucket").select("row", "bucket", tile.alias("tile"), pair.alias("other")).select("row", "bucket", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    dealt = tile_pairs(places, "bucket", "row", TILE)
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = dealt.join(usable, "row").select("bucket", "lo", "hi", "tile", "row", "label", "vector", "codes")
     keys = ["bucket", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def groups() -> Iterator[pa.Table]:
-            """Whole groups; the rows are sorted by group, and the last of a batch waits for the next batch."""
-            nonlocal rest
-            for batch in batches:
-                now = pa.Table.from_batches([batch])
-                now = pa.concat_tables([rest, now]) if rest is not None else now
-                names = np.stack([now[k].to_numpy() for k in keys])
-                last = np.flatnonzero((names != names[:, -1:]).any(axis=0))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                if cut:
-                    yield now.slice(0, cut)
-                rest = now.slice(cut)
-            if rest is not None and rest.num_rows:
-                yield rest
-
-        for many in groups():
-            many = many.combine_chunks()
-            names = np.stack([many[k].to_numpy() for k in keys])
-            starts = np.flatnonzero(np.append(True, (names[:, 1:] != names[:, :-1]).any(axis=0)))
-            ends = np.append(starts[1:], names.shape[1])
-            row, tile, label = (many[k].to_numpy() for k in ("row", "tile", "label"))
-            lists, codes = many["vector"].combine_chunks(), many["codes"].combine_chunks()
-            lists, codes = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (lists, codes))
+        for many, edges in whole_groups(batches, keys):
+            names = np.stack([many.column(k).to_numpy() for k in keys])
+            row, tile, label = (many.column(k).to_numpy() for k in ("row", "tile", "label"))
+            lists, codes = many.column("vector"), many.column("codes")
             offset, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             codes = codes.flatten().to_numpy().reshape(len(row), -1)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for s, e in zip(starts, ends, strict=True):
+            for s, e in zip(edges, edges[1:], strict=False):
                 if e - s < 2:
                     continue
                 length = np.diff(offset[s : e + 1])
@@ -143,7 +107,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     lo, hi = names[1, s], names[2, s]
                     i, j, first = _linked(x, label[at], codes[at], int(names[0, s] >> 32), tile[at] if lo != hi else None, threshold)
                     if len(i):
-                        low = _smallest_reachable(len(at), i, j)
+                        low = smallest_reachable(len(at), i, j)
                         n = np.bincount(i[first], minlength=len(at)) + np.bincount(j[first], minlength=len(at))
                         some = (n > 0) | (low != np.arange(len(at)))
                         found.append((row[at][some], n[some], row[at][low][some]))
