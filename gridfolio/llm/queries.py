@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridfolio.llm.common import let_tasks_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +140,22 @@ def op7_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridfolio.llm.viterbi import encoded
 
     return encoded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and check sum of every document's ids in ORC files."""
+    from gridfolio.llm.token_orc import tokens_through_orc
+
+    return tokens_through_orc(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and length of every document in flat token files."""
+    from gridfolio.llm.separator_scan import counted_documents
+
+    return counted_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
