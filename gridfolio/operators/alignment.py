@@ -100,6 +100,18 @@ def join_on_cells(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.join(right, ["date", "ticker"]), parts)
 
 
+def cells_of_all(rows: DataFrame, key: str, values: dict[str, object], value: str) -> DataFrame:
+    """One column per entry of ``values``: ``value`` of the row whose ``key`` it names, for cells that have them all.
+
+    The inner join of one table per key, written as one aggregate of one pass. A cell has one row per key.
+    """
+    mine = {out: C(key) == F.lit(v) for out, v in values.items()}
+    wide = rows.where(C(key).isin(list(values.values()))).groupBy("date", "ticker").agg(
+        *[F.max(F.when(m, C(value))).alias(out) for out, m in mine.items()], *[F.count(F.when(m, 1)).alias(f"_{out}") for out, m in mine.items()]
+    )
+    return wide.where(reduce(lambda a, b: a & b, [C(f"_{out}") > 0 for out in mine])).select("date", "ticker", *mine)
+
+
 def common_tickers(flows: Sequence[DataFrame], metric: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
     """Tickers with flow data in any window (of the given years) that the metric panel has too."""
 

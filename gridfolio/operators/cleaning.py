@@ -179,16 +179,16 @@ def split_by_year(df: DataFrame, train_years: Sequence[int]) -> DataFrame:
 def split_stratified(df: DataFrame, label: str, key: Sequence[str], ratio: float, seed: int = 42) -> DataFrame:
     """Random split inside each label, repeatable from the key and the seed."""
     mark = F.md5(F.concat_ws("|", *[C(k).cast("string") for k in key], F.lit(str(seed))))
-    ranked = ordered_rank(df.withColumn("_mark", mark), [label], "_mark", "_mark", small_groups=True)
+    ranked = ordered_rank(df.withColumn("_mark", mark), [label], "_mark", "_mark")
     part = F.when(C("rank") <= F.floor(F.lit(ratio) * C("n")), F.lit("train")).otherwise(F.lit("valid"))
     return ranked.withColumn("part", part).drop("_mark", "rank", "n")
 
 
 def split_by_row_order(df: DataFrame, ratio: float) -> DataFrame:
     """The first ``ratio`` of the rows in (date, ticker) order is the training part."""
-    ranked = ordered_rank(df.withColumn("_all", F.lit(1)), ["_all"], "date", "ticker", small_groups=True)
+    ranked = ordered_rank(df, [], "date", "ticker")
     part = F.when(C("rank") <= F.floor(F.lit(ratio) * C("n")), F.lit("train")).otherwise(F.lit("valid"))
-    return ranked.withColumn("part", part).drop("_all", "rank", "n")
+    return ranked.withColumn("part", part).drop("rank", "n")
 
 
 def without_symbol(scores: DataFrame, prices: DataFrame, symbol: str | None) -> DataFrame:
@@ -199,8 +199,8 @@ def without_symbol(scores: DataFrame, prices: DataFrame, symbol: str | None) ->
 
 
 def dense_index(df: DataFrame, by: Sequence[str], order: str, tie: str, out: str) -> DataFrame:
-    """0-based index without gaps inside each of a few groups."""
-    ranked = ordered_rank(df, by, order, tie, small_groups=True)
+    """0-based index without gaps inside each group."""
+    ranked = ordered_rank(df, by, order, tie)
     return ranked.withColumn(out, C("rank") - 1).drop("rank", "n")
 
 

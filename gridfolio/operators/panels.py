@@ -27,10 +27,10 @@ def drop_empty_dates(df: DataFrame, value: str, col: str = "date") -> DataFrame:
     return df.join(per_day(kept, col), col, "left_semi")
 
 
-def zscore_on_years(df: DataFrame, value: str, years: Sequence[int], out: str) -> DataFrame:
-    """Per-ticker z-score with moments from the given years only; zero deviation -> NULL."""
-    whole = Window.partitionBy("ticker")
-    seen = F.when(F.year("date").isin(list(years)), F.col(value))
+def zscore_on_years(df: DataFrame, value: str, years: Sequence[int] | None, out: str, by: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Per-ticker z-score with moments from the given years only, None for all; zero deviation -> NULL."""
+    whole = Window.partitionBy(*by)
+    seen = F.col(value) if years is None else F.when(F.year("date").isin(list(years)), F.col(value))
     return df.withColumn(out, div(F.col(value) - F.avg(seen).over(whole), F.stddev_pop(seen).over(whole)))
 
 

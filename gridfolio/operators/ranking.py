@@ -1,18 +1,15 @@
 """Exact ranks inside very large groups.
 
 ``row_number() over (partition by date)`` sends a whole date to one task. A date
-holds every ticker, so that task grows with the data. ``ordered_rank`` cuts each
-group into many ordered slices first:
-
-1. a fixed number of hashed slots per group keeps one (order, tie) pair each,
-   chosen by smallest hash. That is a mergeable aggregate, so it is combined on
-   the map side and its result does not grow with the group;
-2. the pairs of a group become the slice bounds, and rows are numbered inside
-   (group, slice). Equal scores are cut as well, because the tie key is part of
-   the bound;
-3. the counts of the earlier slices are added.
-
-The result is exact whatever the sample looks like; the sample only balances.
+holds every ticker, so that task grows with the data. ``ordered_rank`` range-partitions
+the rows by (group, order, tie) instead, so a large group is cut into as many ranges as
+its size asks for and ties are cut as well:
+
+1. the rows are written in that order with their number inside their range;
+2. one aggregate counts the rows of each (group, range), at most one row per group and
+   one more per range;
+3. a rank is the number inside the range, from where the group begins there, plus the
+   counts of the group's earlier ranges.
 """
 
 from __future__ import annotations
@@ -25,65 +22,28 @@ from pyspark.sql import functions as F
 from gridfolio.sources.store import stored
 
 C = F.col
-SLOTS = 64
-STRIDE = 8
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def in_ranges(df: DataFrame, keys: Sequence[str], order: str, tie: str) -> DataFrame:
+    """The rows range-partitioned and sorted by (keys, order, tie), with ``range_no`` and ``row_no`` of their place."""
+    sort_by = [C(c).asc_nulls_first() for c in dict.fromkeys([*keys, order, tie])]
+    placed = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    return stored(placed.withColumns({"range_no": F.spark_partition_id(), "row_no": F.monotonically_increasing_id()}), "ranges")
 
 
 def ordered_rank(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    tie: str = "ticker",
-    *,
-    small_groups: bool = False,
-    is_stored: bool = False,
-    slots: int = SLOTS,
-    rank: str = "rank",
-    total: str = "n",
+    df: DataFrame, by: Sequence[str], order: str, tie: str = "ticker", *, rank: str = "rank", total: str = "n"
 ) -> DataFrame:
-    """Add the 1-based ascending rank by (order, tie) and the group size.
-
-    ``small_groups`` states that the number of groups is bounded (days times a
-    fixed list of runs, models or sectors); the slice tables are then broadcast.
-    Without it Spark chooses the join. The rows are read three times, so they are
-    written once first unless ``is_stored`` says that reading them is cheap.
-    """
+    """Add the 1-based ascending rank by (order, tie) inside each group and the group size; an empty ``by`` is one group."""
     keys = list(by)
-    if not is_stored:
-        df = stored(df, "ranked-rows")
-    pair = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"))
-    mixed = F.xxhash64(*[F.col(k) for k in keys], F.col(tie))
-    sample = (
-        df.select(*keys, F.pmod(mixed, F.lit(slots)).alias("slot"), F.struct(mixed.alias("h"), pair.alias("p")).alias("hp"))
-        .groupBy(*keys, "slot")
-        .agg(F.min("hp").alias("hp"))
-    )
-    bounds = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("hp.p")).alias("bounds"))
-    hint = F.broadcast if small_groups else (lambda side: side)
-    # two short searches instead of one long one: every 8th bound, then the 8 after it
-    coarse = F.size(F.filter("marks", lambda b: b < pair))
-    marks = F.filter("bounds", lambda _, i: i % STRIDE == STRIDE - 1)
-    near = F.slice("bounds", C("coarse") * STRIDE + 1, STRIDE)
-    fine = F.size(F.filter(near, lambda b: b < pair))
-    searched = df.join(hint(bounds.withColumn("marks", marks)), keys).withColumn("coarse", coarse)
-    sliced = searched.select(*df.columns, (C("coarse") * STRIDE + fine).alias("slice"))
-    counts = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("c"))
+    placed = in_ranges(df, keys, order, tie)
+    counts = placed.groupBy(*keys, "range_no").agg(F.count(F.lit(1)).alias("c"), F.min("row_no").alias("first"))
+    # one row per group and range; without a group, one row per range
     inside = Window.partitionBy(*keys)
-    offsets = counts.select(
-        *keys,
-        "slice",
-        F.coalesce(
-            F.sum("c").over(inside.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("before"),
-        F.sum("c").over(inside).alias(total),
-    )
-    local = Window.partitionBy(*keys, "slice").orderBy(order, tie)
-    numbered = sliced.withColumn("in_slice", F.row_number().over(local))
-    return numbered.join(hint(offsets), [*keys, "slice"]).select(
-        *df.columns, (F.col("in_slice") + F.col("before")).alias(rank), F.col(total)
-    )
+    earlier = inside.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(earlier), F.lit(0))
+    starts = counts.select(*[C(k).alias(f"_{k}") for k in keys], C("range_no").alias("_range"), "first", before.alias("before"), F.sum("c").over(inside).alias(total))
+    same = placed["range_no"] == starts["_range"]
+    for k in keys:
+        same = same & placed[k].eqNullSafe(starts[f"_{k}"])
+    return placed.join(starts, same).select(*df.columns, (C("row_no") - C("first") + 1 + C("before")).alias(rank), C(total))

@@ -158,7 +158,7 @@ def forward_return(horizon: int) -> Column:
 def forward_drawdown(horizon: int) -> Column:
     """Largest fall from a running peak over the next ``horizon`` rows."""
     ahead = F.collect_list("close").over(by_ticker().rowsBetween(0, horizon))
-    rel = F.transform(ahead, lambda p: p / F.get(ahead, F.lit(0)))
+    rel = F.transform(ahead, lambda p: div(p, F.get(ahead, F.lit(0))))
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("fall"))
 
     def step(acc: Column, v: Column) -> Column:

@@ -411,18 +411,14 @@ view(
 
 
 def flow_features(spark, sf, windows=(5, 20)):
-    """One z-scored flow ratio table per rolling window: (date, ticker, flow_<w>)."""
+    """Z-scored flow ratios, one row per rolling window: (window_rows, date, ticker, z); moments of all years."""
     cells = tables.grid(spark, sf, values=["flow", "amount"])
     caps = cells.select("ticker", "pos", "date", F.sum("amount").over(sm.trailing(52)).alias("cap"))
     rolled = rolling_sums(cells, "flow", list(windows))
     ratio = rolled.join(caps.select("ticker", "date", "cap"), ["ticker", "date"])
     ratio = ratio.withColumn("ratio", sm.div(C("value"), C("cap")))
-    out = []
-    for w in windows:
-        years = tuple(range(1990, 2010))
-        z = zscore_on_years(ratio.where(C("window_rows") == w), "ratio", years, f"flow_{w}")
-        out.append(z.where(C(f"flow_{w}").isNotNull()).select("date", "ticker", f"flow_{w}"))
-    return out
+    z = zscore_on_years(ratio, "ratio", None, "z", by=["window_rows", "ticker"])
+    return z.where(C("z").isNotNull()).select("window_rows", "date", "ticker", "z")
 
 
 @query(
@@ -430,7 +426,7 @@ def flow_features(spark, sf, windows=(5, 20)):
     f"select a.date, a.ticker, {r('a.z')} as flow_5, {r('b.z')} as flow_20 from flow_z a join flow_z b on b.date = a.date and b.ticker = a.ticker and b.w = 20 and b.z is not null where a.w = 5 and a.z is not null",
 )
 def jn22(spark, sf):
-    out = al.join_on_cells(flow_features(spark, sf))
+    out = al.cells_of_all(flow_features(spark, sf), "window_rows", {"flow_5": 5, "flow_20": 20}, "z")
     return out.select("date", "ticker", rounded(C("flow_5")).alias("flow_5"), rounded(C("flow_20")).alias("flow_20"))
 
 
@@ -441,7 +437,7 @@ def jn22(spark, sf):
 )
 def jn9(spark, sf):
     samples = tables.results(spark, sf, ["a"]).select("date", "ticker", "label")
-    flow = flow_features(spark, sf, (5,))[0]
+    flow = flow_features(spark, sf, (5,)).select("date", "ticker", C("z").alias("flow_5"))
     return al.join_on_cells([samples, flow]).select("date", "ticker", "label", rounded(C("flow_5")).alias("flow_5"))
 
 
@@ -464,8 +460,7 @@ def jn10(spark, sf):
 )
 def jn11(spark, sf):
     rows = tables.results(spark, sf, ["a", "b", "c"])
-    parts = [rows.where(C("model") == m).select("date", "ticker", C("label").alias(f"label_{m}")) for m in ("a", "b", "c")]
-    return al.join_on_cells(parts)
+    return al.cells_of_all(rows, "model", {f"label_{m}": m for m in ("a", "b", "c")}, "label")
 
 
 @query(

@@ -404,4 +404,4 @@ def top1(spark, sf):
     "select date, ticker, row_number() over (partition by date order by score, ticker) as rank, count(*) over (partition by date) as n from scores_long where model = 'b'",
 )
 def wn17(spark, sf):
-    return ordered_rank(tables.scores(spark, sf, ["b"]).select("date", "ticker", "score"), ["date"], "score", small_groups=True).select("date", "ticker", "rank", "n")
+    return ordered_rank(tables.scores(spark, sf, ["b"]).select("date", "ticker", "score"), ["date"], "score").select("date", "ticker", "rank", "n")

@@ -26,15 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _line_rows(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
     """Line items with their period, price and a key that orders them inside a period.
 
-    The key packs (day, order, line, price in cents, quantity) into one decimal. A
-    decimal is a fixed-width buffer, so first and last price stay in the hash
-    aggregate; a struct would force a sort of all raw rows.
+    The key packs (day, order, line, price in cents, quantity) into one decimal of
+    3, 14, 4, 11 and 6 digits; a larger number ends the job and is never cut. A decimal
+    is a fixed-width buffer, so first and last price stay in the hash aggregate; a
+    struct would force a sort of all raw rows.
     """
     day = F.to_date("l_shipdate")
     start = period_start(day, freq)
-    place = F.date_diff(day, start).cast("long") * F.lit(1 << 55) + C("l_orderkey") * F.lit(1 << 6) + C("l_linenumber")
-    size = F.round(C("l_extendedprice") * 100).cast("long") * 1000 + C("l_quantity").cast("long")
-    key = place.cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + size.cast("decimal(16,0)")
+    line = C("l_orderkey").cast("decimal(14,0)") * F.lit(10**4).cast("decimal(5,0)") + C("l_linenumber").cast("decimal(4,0)")
+    place = F.date_diff(day, start).cast("decimal(3,0)") * F.lit(10**18).cast("decimal(19,0)") + line
+    size = F.round(C("l_extendedprice") * 100).cast("decimal(11,0)") * F.lit(10**6).cast("decimal(7,0)") + C("l_quantity").cast("decimal(6,0)")
+    key = place.cast("decimal(21,0)") * F.lit(10**17).cast("decimal(18,0)") + size
     return table(spark, sf_dir, "lineitem").select(
         C("l_suppkey").cast("string").alias("ticker"),
         start.alias("date"),
@@ -131,7 +133,7 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly membership: the top 80 percent by market cap."""
     caps = market_caps(spark, sf_dir).join(per_day(quarter_dates(spark, sf_dir).select("date"), "date"), "date")
-    ranked = ordered_rank(caps.where(F.col("cap").isNotNull()).select("date", "ticker", "cap"), ["date"], "cap", small_groups=True)
+    ranked = ordered_rank(caps.where(F.col("cap").isNotNull()).select("date", "ticker", "cap"), ["date"], "cap")
     return ranked.select("date", "ticker", F.when(F.col("rank") * 5 > F.col("n"), 1.0).otherwise(0.0).alias("member"))
 
 

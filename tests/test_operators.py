@@ -19,8 +19,9 @@ from gridfolio.operators import reports as rp
 from gridfolio.operators import samples as sm
 from gridfolio.operators import scoring as sc
 from gridfolio.operators.calendar import calendar_of, dense_grid, per_day, rebalance_windows
-from gridfolio.operators.ranking import ordered_rank
-from gridfolio.sources import panels
+from gridfolio.operators.panels import zscore_on_years
+from gridfolio.operators.ranking import in_ranges, ordered_rank
+from gridfolio.sources import panels, tables
 from gridfolio.sources.store import shared_dir
 
 DAY = dt.date(2024, 1, 1)
@@ -93,18 +94,54 @@ def test_constant_series(spark):
 # ------------------------------------------------------------------ ranks and groups
 
 
-@pytest.mark.parametrize("slots", [1, 3, 64])
-def test_ordered_rank_is_exact(spark, slots):
+def test_ordered_rank_is_exact(spark):
     rng = random.Random(1)
     rows = [("hot", float(rng.choice([0.0, 0.0, 0.0, 1.5, rng.random()])), f"t{i:05d}") for i in range(5000)]
     rows += [("cold", rng.random(), f"t{i}") for i in range(7)]
     df = frame(spark, rows, "g string, s double, ticker string")
-    got = {(r.g, r.ticker): (r["rank"], r.n) for r in ordered_rank(df, ["g"], "s", slots=slots).collect()}
+    got = {(r.g, r.ticker): (r["rank"], r.n) for r in ordered_rank(df, ["g"], "s").collect()}
     for g in ("hot", "cold"):
         part = sorted((s, t) for h, s, t in rows if h == g)
         assert [got[g, t] for _, t in part] == [(i + 1, len(part)) for i in range(len(part))]
 
 
+def test_large_groups_and_ties_are_cut_into_even_ranges(spark):
+    """One group, 50 orders repeated 400 times, as the row order of a panel."""
+    df = spark.range(20_000).selectExpr("1 as g", "cast(id % 50 as int) as date", "format_string('t%05d', id div 50) as ticker")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in in_ranges(df, ["g"], "date", "ticker").groupBy("range_no").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == 4 and max(sizes) <= 3 * 20_000 / len(sizes)
+    ranks = ordered_rank(df, [], "date", "ticker").orderBy("date", "ticker").collect()
+    assert [r["rank"] for r in ranks] == list(range(1, 20_001)) and {r.n for r in ranks} == {20_000}
+
+
+def test_null_groups_are_ranked(spark):
+    df = frame(spark, [(None, 2.0, "b"), (None, 1.0, "a"), ("x", 1.0, "a")], "g string, s double, ticker string")
+    assert sorted((r.g or "", r["rank"], r.n) for r in ordered_rank(df, ["g"], "s").collect()) == [("", 1, 2), ("", 2, 2), ("x", 1, 1)]
+
+
+def test_zero_close_gives_no_window_and_no_error(spark):
+    rows = [("t", i, 0.0 if i == 3 else float(i + 1)) for i in range(8)]
+    df = frame(spark, rows, "ticker string, pos int, close double").select("*", sm.forward_return(1).alias("ret"), sm.forward_drawdown(2).alias("fall"))
+    got = {r.pos: (r.ret, r.fall) for r in df.collect()}
+    assert got[3][0] is None and got[2] == (-1.0, pytest.approx(1.0))
+
+
+def test_moments_of_all_years(spark):
+    rows = [("t", f"{y}-01-01", float(y)) for y in (1980, 2000, 2020)]
+    df = frame(spark, rows, "ticker string, date string, v double").withColumn("date", F.to_date("date"))
+    assert [round(r.z, 4) for r in zscore_on_years(df, "v", None, "z").orderBy("date").collect()] == [-1.2247, 0.0, 1.2247]
+
+
+def test_yearly_bars(spark):
+    whole, months = (tables.bars(spark, "/root/testdata/sf0.001", f) for f in ("Y", "M"))
+    assert whole.agg(F.sum("volume")).first() == months.agg(F.sum("volume")).first()
+
+
 @pytest.mark.parametrize("q", [1, 2, 3, 5, 6, 7, 9, 10, 12, 19])
 def test_quantile_edges(spark, q):
     sizes = [n for n in (q, q + 1, 2 * q + 3, 60, 113) if n >= q]
