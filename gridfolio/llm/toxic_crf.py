@@ -245,7 +245,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     sizes = rows["number"].map(len).to_numpy()
     text = np.repeat(np.arange(len(rows)), sizes)
     number = np.concatenate([np.zeros(0, np.int64), *rows["number"]]).astype(np.int64)
-    places = np.concatenate([np.zeros(0, np.int64), *rows["places"]]).astype(np.int64).reshape(len(number), -1)
+    places = np.concatenate([np.zeros(0, np.int64), *rows["places"]]).astype(np.int64).reshape(len(number), 1 + len(PREFIXES))
     said = toxic[text] == 1  # the labelled tokens
     follows = np.zeros(len(text), bool)
     follows[1:] = said[1:] & said[:-1] & (text[1:] == text[:-1]) & (number[1:] == number[:-1] + 1)

@@ -2,7 +2,8 @@
 
 The best segmentation of a text into pieces maximises the sum of piece scores. The search keeps best scores for the
 last ``longest`` boundaries only, since no piece reaches further back. Ids are committed whenever the backpointers of
-all surviving boundaries have met in one boundary; what lies before it is forgotten. In a vocabulary whose pieces
+all surviving boundaries have met in one boundary; what lies before it is forgotten. (Paths through a long run of
+one letter may not meet before it ends; its backpointers, not its scores, are held until then.) In a vocabulary whose pieces
 never hold a space after another character all paths meet at the end of every word, so words are the units that are
 remembered; short ones are searched many at a time as arrays, longer ones, and texts of other vocabularies, by the
 stream.

@@ -135,15 +135,15 @@ def zip_members(path: str) -> list[dict]:
         tail_at = max(0, size - (22 + MAX16))
         tail = f.read_at(size - tail_at, tail_at)
         found = tail.rfind(END)
-        while found >= 0 and found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail):
+        while found >= 0 and (found + 22 > len(tail) or found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail)):
             found = tail.rfind(END, 0, found)  # the signature can also stand in a comment
         if found < 0:
             raise ValueError(f"{path} has no end record of a ZIP file")
         _, _, _, count, length, start, _ = struct.unpack_from(END_LAYOUT, tail, found + 4)
-        if MAX16 in (count,) or MAX32 in (length, start):
-            locator = f.read_at(20, tail_at + found - 20)
-            if locator[:4] != LOCATOR64:
-                raise ValueError(f"{path} needs a ZIP64 directory and has none")
+        locator = f.read_at(20, tail_at + found - 20) if tail_at + found >= 20 else b""
+        if locator[:4] != LOCATOR64 and (count == MAX16 or MAX32 in (length, start)):
+            raise ValueError(f"{path} needs a ZIP64 directory and has none")
+        if locator[:4] == LOCATOR64:
             _, end64_at, _ = struct.unpack_from(LOCATOR64_LAYOUT, locator, 4)
             end64 = f.read_at(56, end64_at)
             if end64[:4] != END64:
