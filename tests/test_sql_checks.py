@@ -16,12 +16,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUERIES, CHECKS = registry.QUERIES, registry.CHECKS  # those of gridfolio.llm have tests of their own
 
 
+#: where a query finds nothing on the smallest tables, these decide
+LARGER = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return con
+    """One DuckDB per folder, with a view per table."""
+    made = {}
+    for folder in (SF, LARGER):
+        made[folder] = duckdb.connect()
+        for t in TABLES:
+            made[folder].execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return made
 
 
 def plain(value):
@@ -41,10 +48,13 @@ def rows_of(names, rows):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    result = QUERIES[name](spark, SF)
-    got = [tuple(r) for r in result.collect()]
     assert name in CHECKS, f"{name} has no SQL check"
-    cursor = duck.execute(CHECKS[name])
-    names = [d[0] for d in cursor.description]
+    for folder in (SF, LARGER):
+        cursor = duck[folder].execute(CHECKS[name])
+        names, want = [d[0] for d in cursor.description], cursor.fetchall()
+        if want:
+            break
+    assert want, f"{name} finds nothing, so nothing is compared"
+    result = QUERIES[name](spark, folder)
     assert sorted(result.columns) == sorted(names)
-    assert rows_of(result.columns, got) == rows_of(names, cursor.fetchall())
+    assert rows_of(result.columns, [tuple(r) for r in result.collect()]) == rows_of(names, want)
