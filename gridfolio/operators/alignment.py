@@ -37,6 +37,10 @@ def align_scores(scores: DataFrame, calendar: DataFrame, prices: DataFrame, symb
     common = scores.join(known, "ticker", "left_semi")
     if symbol:
         common = common.where(C("ticker") != symbol)
+    if common.isEmpty():
+        raise ValueError("no ticker has both scores and prices")
+    if calendar.limit(2).count() < 2:
+        raise ValueError("an evaluation needs two dates or more")
     filled = align_to_calendar(common, calendar, ["score"])
     start = common.join(per_day(calendar.select("date"), "date"), "date", "left_semi").agg(F.min("date")).scalar()
     return filled.where(C("date") >= start)
@@ -50,6 +54,8 @@ def align_optional(panel: DataFrame, calendar: DataFrame, target: DataFrame, val
 def membership_mask(universe: DataFrame, calendar: DataFrame) -> DataFrame:
     """Filled membership per cell, NULL -> 0, for tickers that are a member at least once."""
     ever = universe.where(C("member") > 0).select("ticker").distinct()
+    if ever.isEmpty():
+        raise ValueError("no ticker is ever a member of the universe")
     filled = align_to_calendar(universe.join(ever, "ticker", "left_semi"), calendar, ["member"])
     return filled.select("ticker", "pos", F.coalesce("member", F.lit(0.0)).alias("member"))
 

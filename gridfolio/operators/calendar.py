@@ -29,7 +29,10 @@ PERIOD_UNITS = {
 
 
 def per_day(df: DataFrame, key: str) -> DataFrame:
-    """Broadcast a table that holds a bounded number of rows per day."""
+    """Broadcast a table that holds one row per day, or per window of a schedule; none that has a row per group of a day."""
+    several = {"run", "group_id", "ticker", "sector", "model"} & set(df.columns)
+    if several:
+        raise TypeError(f"rows per {sorted(several)}: let the optimiser choose the join")
     kind = df.schema[key].dataType
     if not isinstance(kind, (T.DateType, T.IntegerType)):
         raise TypeError(f"{key} must be a DATE or a calendar position, not {kind.simpleString()}")

@@ -134,7 +134,7 @@ def sheet_cells(sheet: DataFrame, first_row: int = 14) -> DataFrame:
     body = sheet.where(C("row_no") >= first_row)
     dates = body.where(C("col_no") == 0).select("row_no", C("cell").alias("date")).transform(coerce_dates)
     cells = body.where(C("col_no") > 0)
-    return cells.join(sheet_columns(sheet), "col_no").join(per_day(dates, "row_no"), "row_no")
+    return cells.join(sheet_columns(sheet), "col_no").join(dates, "row_no")
 
 
 def project_items(cells: DataFrame) -> DataFrame:

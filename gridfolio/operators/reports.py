@@ -160,7 +160,7 @@ def histogram(values: DataFrame, value: str, bins: Column | None = None) -> Data
         F.when(flat, C("hi") + 0.5).otherwise(C("hi")).alias("hi"),
         k.cast("int").alias("bins"),
     )
-    return _bin(values.join(F.broadcast(lo_hi), KEY), value, KEY)
+    return _bin(values.join(lo_hi, KEY), value, KEY)
 
 
 def _bin(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -176,7 +176,7 @@ def shared_histogram(values: DataFrame, value: str, edges: int = 50) -> DataFram
     span = span.select("run", F.when(flat, C("lo") - 0.1).otherwise(C("lo")).alias("lo"), F.when(flat, C("hi") + 0.1).otherwise(C("hi")).alias("hi"))
     pad = (C("hi") - C("lo")) * 0.05
     span = span.select("run", (C("lo") - pad).alias("lo"), (C("hi") + pad).alias("hi"), F.lit(edges - 1).alias("bins"))
-    return _bin(values.join(F.broadcast(span), "run"), value, KEY)
+    return _bin(values.join(span, "run"), value, KEY)
 
 
 def headline(stats: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def price_audit(positions: DataFrame, closes: DataFrame, tolerance: float) -> Da
 def latest_holdings(positions: DataFrame) -> DataFrame:
     """Positions of the last trade of each group with their weights."""
     last = positions.groupBy(*KEY).agg(F.max("entry_date").alias("entry_date"))
-    kept = positions.join(F.broadcast(last), [*KEY, "entry_date"], "left_semi")  # one row per group
+    kept = positions.join(last, [*KEY, "entry_date"], "left_semi")
     return kept.withColumn("weight", F.coalesce(div(C("entry_value"), C("capital_in")), F.lit(0.0)))
 
 

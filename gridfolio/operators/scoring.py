@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import div
-from gridfolio.operators.calendar import per_day
 
 C = F.col
 CELL = ["date", "ticker"]
@@ -102,18 +101,12 @@ def merge_models(results: DataFrame, weights: DataFrame, n_models: int) -> DataF
 
 
 def ensemble_intersection(results: DataFrame, n_models: int) -> DataFrame:
-    """Mean over models on the dates common to all and the tickers common to all.
+    """Mean over models of the cells that all models have.
 
-    Dates and tickers are intersected separately; a cell that a model lacks is dropped.
+    Such a cell's date and ticker are common to all models, so they need no intersection of their own.
     """
     cells = results.groupBy(*CELL).agg(F.avg("prob_up").alias("prob_up"), F.count("prob_up").alias("n"))
-
-    def common(key: str) -> DataFrame:
-        pairs = results.select(key, "model").distinct()
-        return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where(C("m") == n_models).select(key)
-
-    kept = cells.where(C("n") == n_models).drop("n")
-    return kept.join(per_day(common("date"), "date"), "date", "left_semi").join(common("ticker"), "ticker", "left_semi")
+    return cells.where(C("n") == n_models).drop("n")
 
 
 def ensemble_cells(results: DataFrame, n_models: int) -> DataFrame:

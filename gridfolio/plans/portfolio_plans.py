@@ -81,7 +81,7 @@ def base(spark, sf) -> pf.Evaluation:
 
 def member_cols(df: DataFrame, windows: DataFrame) -> DataFrame:
     dates = windows.select("window_id", "entry_date").distinct()
-    return df.join(F.broadcast(dates), "window_id")
+    return df.join(dates, "window_id")
 
 
 @query("pf1_quantile_groups", "select entry_date, gid as group_id, ticker from pb_mem")

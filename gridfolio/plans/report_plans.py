@@ -161,7 +161,7 @@ def bench_stats(bench: DataFrame) -> DataFrame:
 def agg16(spark, sf):
     bench = benchmark(spark, sf, base(spark, sf))
     monthly = rp.monthly_summary(rp.monthly_returns(bench))
-    joined = bench_stats(bench).join(F.broadcast(monthly), ["run", "group_id"])
+    joined = bench_stats(bench).join(monthly, ["run", "group_id"])
     return stat_cols(joined, rounded(C("monthly_avg_return")).alias("monthly_avg_return"), rounded(C("monthly_win_rate")).alias("monthly_win_rate"))
 
 
@@ -486,11 +486,12 @@ view(
     "jn20_two_run_positions",
     f"""select p.run as sector, p.gid as group_id, p.entry_date, p.ticker, {sig('p.ev')} as entry_value, {sig('p.xv')} as exit_value,
         {sig('d.ev')} as dn_entry_value, {sig('d.xv')} as dn_exit_value, {sig('n.e0')} as dn_net_equity_entry, {r('n.nr')} as dn_net_return
-        from sl_tab p join sd_tab d on d.run = p.run and d.gid = p.gid and d.wid = p.wid and d.ticker = p.ticker
-        join sd_net n on n.run = p.run and n.entry_date = p.entry_date and n.exit_date = p.exit_date""",
+        from sl_tab p left join sd_tab d on d.run = p.run and d.gid = p.gid and d.wid = p.wid and d.ticker = p.ticker
+        left join sd_net n on n.run = p.run and n.entry_date = p.entry_date and n.exit_date = p.exit_date""",
 )
 def jn20(spark, sf):
-    return compared(spark, sf).where(C("dn_entry_value").isNotNull() & C("dn_net_return").isNotNull()).select(
+    """Every position of the first run; what the second run does not hold is NULL beside it."""
+    return compared(spark, sf).select(
         C("run").alias("sector"), "group_id", "entry_date", "ticker", *[significant(C(c)).alias(c) for c in ("entry_value", "exit_value", "dn_entry_value", "dn_exit_value", "dn_net_equity_entry")],
         rounded(C("dn_net_return")).alias("dn_net_return"),
     )
@@ -505,7 +506,7 @@ def compared(spark, sf) -> DataFrame:
     bt = sector_run(spark, sf, SEC)
     net = rp.window_net_returns(bt.equity.where(C("group_id") != "net"), bt.equity.where(C("group_id") == "net"), bt.trades)
     net = net.select("run", "entry_date", "exit_date", C("gross").alias("dn_net_gross"), C("entry_equity").alias("dn_net_equity_entry"), C("exit_equity").alias("dn_net_equity_exit"), C("net_return").alias("dn_net_return"))
-    return plain.join(other, keys, "left").join(per_day(net, "entry_date"), ["run", "entry_date", "exit_date"], "left")
+    return plain.join(other, keys, "left").join(net, ["run", "entry_date", "exit_date"], "left")
 
 
 @query(

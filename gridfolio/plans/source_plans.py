@@ -317,13 +317,14 @@ DAYS = "date between date '1996-03-01' and date '1997-02-28'"
 
 @query("flt1_date_range", f"select ticker, date, close from bars_w where {DAYS} and ticker in ('1', '2', '3', '5', '8')")
 def flt1(spark, sf):
-    bars = tables.bars(spark, sf).select("ticker", "date", "close")
-    return bars.where(C("date").between("1996-03-01", "1997-02-28") & C("ticker").isin("1", "2", "3", "5", "8"))
+    return tables.bars(spark, sf, days=("1996-03-01", "1997-02-28"), tickers=(1, 2, 3, 5, 8)).select("ticker", "date", "close")
 
 
 @query("flt2_year_filter", "select ticker, date, close from bars_w where year(date) in (1996, 1998)")
 def flt2(spark, sf):
-    return in_years(tables.bars(spark, sf).select("ticker", "date", "close"), (1996, 1998))
+    """The scan takes the span of the years; the years themselves are picked after it."""
+    bars = tables.bars(spark, sf, days=("1996-01-01", "1998-12-31"))
+    return in_years(bars.select("ticker", "date", "close"), (1996, 1998))
 
 
 @query(

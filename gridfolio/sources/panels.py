@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfolio.sources.store import shared_dir
@@ -43,8 +43,11 @@ class Datasets:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def available(self) -> DataFrame:
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.folder)
-        return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
+        """Files and folders that Spark wrote; only the names inside the folder are listed, nothing is opened."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = [f.getPath().getName() for f in listed]
+        return self.spark.createDataFrame([(n.removesuffix(".parquet"),) for n in sorted(names) if n.endswith(".parquet")], "name string")
 
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -56,7 +59,27 @@ def write_tickers(df: DataFrame, path: str) -> None:
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ticker string").json(path)
+    """Tickers of a JSON array of strings, or of one JSON object per line."""
+    lines = spark.read.text(path).withColumn("value", F.trim("value"))
+    objects = lines.where(F.col("value").startswith("{")).select(F.get_json_object("value", "$.ticker").alias("ticker"))
+    whole = spark.read.text(path, wholetext=True).withColumn("value", F.trim("value")).where(F.col("value").startswith("["))
+    listed = whole.select(F.explode(F.from_json("value", "array<string>")).alias("ticker"))
+    return objects.unionByName(listed)
+
+
+def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A headerless CSV sheet as (row_no, col_no, cell), both counted from 0; empty cells are left out.
+
+    Lines keep their order in the file: they are numbered where they lie, and a range's lines are counted once.
+    """
+    rows = spark.read.csv(path, header=False, encoding=encoding, multiLine=True)  # one sheet is read by one task, in order
+    numbered = rows.withColumn("at", F.monotonically_increasing_id())
+    first = numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = numbered.withColumn("part", F.shiftright("at", 33)).join(first.select("part", before.alias("before")), "part")
+    row = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")
+    cells = F.array(*[F.struct(F.lit(i).alias("col_no"), F.col(c).alias("cell")) for i, c in enumerate(rows.columns)])
+    return placed.select(row.alias("row_no"), F.explode(cells).alias("c")).select("row_no", "c.*").where(F.col("cell").isNotNull())
 
 
 def save_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -83,3 +106,14 @@ class SampleCache:
 
     def load(self, params: Mapping[str, object]) -> DataFrame:
         return self.spark.read.parquet(self.path(params))
+
+    def holds(self, params: Mapping[str, object]) -> bool:
+        """Whether a finished table lies under the key."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(params)}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def get(self, params: Mapping[str, object], build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of the key; built and saved only if there is none."""
+        if not self.holds(params):
+            self.save(build(), params)
+        return self.load(params)

@@ -7,11 +7,14 @@ anything is shuffled.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import by_ticker, div, trailing
-from gridfolio.operators.calendar import calendar_of, dense_grid, per_day, period_start
+from gridfolio.operators.calendar import PERIOD_UNITS, calendar_of, dense_grid, per_day, period_start
 from gridfolio.operators.ranking import ordered_rank
 
 C = F.col
@@ -23,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line_rows(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
+#: most days of a period (fixed values)
+LONGEST = {"day": 1, "week": 7, "month": 31, "quarter": 92, "year": 366}
+
+
+def _line_rows(spark: SparkSession, sf_dir: str, freq: str, days: tuple[str, str] | None = None, tickers: Sequence[int] | None = None) -> DataFrame:
     """Line items with their period, price and a key that orders them inside a period.
 
     The key packs (day, order, line, price in cents, quantity) into one decimal of
@@ -37,7 +44,14 @@ def _line_rows(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
     place = F.date_diff(day, start).cast("decimal(3,0)") * F.lit(10**18).cast("decimal(19,0)") + line
     size = F.round(C("l_extendedprice") * 100).cast("decimal(11,0)") * F.lit(10**6).cast("decimal(7,0)") + C("l_quantity").cast("decimal(6,0)")
     key = place.cast("decimal(21,0)") * F.lit(10**17).cast("decimal(18,0)") + size
-    return table(spark, sf_dir, "lineitem").select(
+    raw = table(spark, sf_dir, "lineitem")
+    if days:
+        kind = raw.schema["l_shipdate"].dataType
+        last = dt.date.fromisoformat(days[1]) + dt.timedelta(LONGEST[PERIOD_UNITS[freq.upper()]])
+        raw = raw.where((C("l_shipdate") >= F.lit(days[0]).cast(kind)) & (C("l_shipdate") < F.lit(last.isoformat()).cast(kind)))
+    if tickers:
+        raw = raw.where(C("l_suppkey").isin(list(tickers)))
+    return raw.select(
         C("l_suppkey").cast("string").alias("ticker"),
         start.alias("date"),
         div(C("l_extendedprice"), C("l_quantity")).alias("price"),
@@ -48,10 +62,17 @@ def _line_rows(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, freq: str = "W") -> DataFrame:
-    """Supplier bars: one row per (ticker, period) that has line items."""
+def bars(spark: SparkSession, sf_dir: str, freq: str = "W", days: tuple[str, str] | None = None, tickers: Sequence[int] | None = None) -> DataFrame:
+    """Supplier bars: one row per (ticker, period) that has line items.
+
+    ``days`` bounds the starts of the periods and ``tickers`` names suppliers; both reach the scan as filters on the
+    raw columns, and the bars of the periods inside are whole.
+    """
+    rows = _line_rows(spark, sf_dir, freq, days, tickers)
+    if days:
+        rows = rows.where(C("date").between(F.lit(days[0]).cast("date"), F.lit(days[1]).cast("date")))
     return (
-        _line_rows(spark, sf_dir, freq)
+        rows
         .groupBy("ticker", "date")
         .agg(
             F.min_by("price", "seq").alias("open"),

@@ -353,3 +353,48 @@ def test_recode_keeps_unknown_labels(spark):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+
+# ------------------------------------------------------------------ readers and checks
+
+
+def test_sheet_reader(spark, tmp_path):
+    (tmp_path / "sheet.csv").write_text('top,,x\n"two\nlines",1,\n,,"a,b"\n')
+    got = sorted(map(tuple, panels.read_sheet(spark, str(tmp_path / "sheet.csv")).collect()))
+    assert got == [(0, 0, "top"), (0, 2, "x"), (1, 0, "two\nlines"), (1, 1, "1"), (2, 2, "a,b")]
+
+
+def test_ticker_lists(spark, tmp_path):
+    (tmp_path / "array.json").write_text('[\n "A", "B",\n "C"]')
+    assert sorted(r.ticker for r in panels.read_tickers(spark, str(tmp_path / "array.json")).collect()) == ["A", "B", "C"]
+    panels.write_tickers(frame(spark, [("A",), ("B",)], "ticker string"), str(tmp_path / "lines"))
+    assert sorted(r.ticker for r in panels.read_tickers(spark, str(tmp_path / "lines")).collect()) == ["A", "B"]
+
+
+def test_datasets_list_files_and_folders(spark, tmp_path):
+    frame(spark, [(1,)], "a int").write.parquet(str(tmp_path / "written.parquet"))
+    pd.DataFrame({"a": [1]}).to_parquet(tmp_path / "single.parquet")
+    sets = panels.Datasets(spark, str(tmp_path))
+    assert [r.name for r in sets.available().collect()] == ["single", "written"] and sets.load("written").count() == 1
+
+
+def test_sample_cache_is_hit(spark):
+    cache, built = panels.SampleCache(spark, "cache-test"), []
+    make = lambda: built.append(1) or frame(spark, [(1,)], "a int")
+    assert cache.get({"p": 1}, make).count() == cache.get({"p": 1}, make).count() == 1 and built == [1]
+    cache.get({"p": 2}, make)
+    assert built == [1, 1]
+
+
+def test_inputs_that_cannot_be_evaluated(spark):
+    prices = frame(spark, [(DAY, "A", 1.0)], "date date, ticker string, close double")
+    scores = frame(spark, [(DAY, "B", 1.0)], "date date, ticker string, score double")
+    calendar = calendar_of(prices)
+    with pytest.raises(ValueError, match="both scores and prices"):
+        al.align_scores(scores, calendar, prices)
+    with pytest.raises(ValueError, match="two dates"):
+        al.align_scores(scores.withColumn("ticker", F.lit("A")), calendar, prices)
+    with pytest.raises(ValueError, match="never|ever a member"):
+        al.membership_mask(frame(spark, [(DAY, "A", 0.0)], "date date, ticker string, member double"), calendar)
+    with pytest.raises(TypeError, match="rows per"):
+        per_day(frame(spark, [(1, "a")], "window_id int, run string"), "window_id")
