@@ -20,6 +20,7 @@ from gridfolio.llm.common import in_order, stored
 
 BITS = 128
 SEEDS = (1, 2)
+QUERY_EVERY = 50  # the stated query set of the search
 LANES = 0x0000000100000001  # two counters of 32 bits in a long
 
 
@@ -93,9 +94,12 @@ def with_next(ids: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     return out.select(*ids.columns, *[F.col(f"next.{k}").alias(f"next_{k}") for k in keys])
 
 
-def fingerprints_with_edits(documents: DataFrame) -> DataFrame:
+def fingerprints_with_edits(documents: DataFrame, radius: int = 3) -> DataFrame:
     """Fingerprints of ``documents(doc_id, text)`` and of edited texts: the last quarter gives way to the start of the next text.
 
+    Rows whose id is divisible by ``QUERY_EVERY`` are searched among all rows: ``n_within_radius`` is the number of
+    other rows at most ``radius`` bits away, null for rows that are not searched.
+
     Whole texts are shuffled once, by row key; the start of the next text is cut off where it lies and sent on.
     """
     text = F.coalesce("text", F.lit(""))
@@ -117,19 +121,24 @@ def fingerprints_with_edits(documents: DataFrame) -> DataFrame:
     after = kept.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("high").alias("next_high"), F.col("low").alias("next_low"))
     mine, edit, nxt = ((F.col(f"{x}high"), F.col(f"{x}low")) for x in ("", "edited_", "next_"))
     rows = docs.select("k", "h").groupBy("k", "h").agg(F.count("*").alias("times"))  # repeated rows come back as often as they were
-    out = order.join(kept, ["k", "h"]).join(after, ["next_k", "next_h"]).join(rows, ["k", "h"])
+    searched = kept.join(order.select("k", "h", "doc_id"), ["k", "h"]).where(F.col("doc_id") % QUERY_EVERY == 0)
+    zero = F.lit(0).cast("long")
+    full = kept.join(rows, ["k", "h"]).select(F.coalesce("high", zero).alias("high"), F.coalesce("low", zero).alias("low"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_"))
+    asked_for = searched.select(F.struct("k", "h").alias("query"), F.coalesce("high", zero).alias("high"), F.coalesce("low", zero).alias("low"))
+    near = count_within_radius(asked_for, full, radius).select("query.k", "query.h", (F.col("n") - 1).alias("n_within_radius"))
+    out = order.join(kept, ["k", "h"]).join(after, ["next_k", "next_h"]).join(rows, ["k", "h"]).join(near, ["k", "h"], "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", as_text(*mine).alias("fingerprint"), as_text(*edit).alias("edited_fingerprint"),
-        likeness(distance(mine, edit)).alias("near_edited"), likeness(distance(mine, nxt)).alias("near_next"), F.expr("explode(sequence(1, cast(times as int)))").alias("_"),
+        likeness(distance(mine, edit)).alias("near_edited"), likeness(distance(mine, nxt)).alias("near_next"), "n_within_radius", F.expr("explode(sequence(1, cast(times as int)))").alias("_"),
     ).drop("_")
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(query, id, bits) for all ``prints(id, high, low)`` at most ``radius`` bits from ``queries(query, high, low)``.
+def close_prints(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(high, low, high2, low2, bits) of all different fingerprints of both tables at most ``radius`` bits apart.
 
     The bits are dealt into radius + 1 blocks; two fingerprints within the radius agree in one of them. Table t is
     keyed by block t, and a pair is kept in the first table in which it agrees, so no pair is found twice and none
-    is lost. Equal fingerprints are searched once and joined to their ids at the end.
+    is lost.
     """
     blocks = radius + 1
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -141,7 +150,18 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> Dat
 
     ask, give = keys(queries).select("high", "low", "parts", F.posexplode("parts").alias("t", "key")), keys(prints).select(F.col("high").alias("high2"), F.col("low").alias("low2"), F.col("parts").alias("parts2"), F.posexplode("parts").alias("t", "key"))
     first = F.array_position(F.zip_with("parts", "parts2", lambda x, y: x == y), True) - 1
-    close = ask.join(give, ["t", "key"]).withColumn("bits", distance((F.col("high"), F.col("low")), (F.col("high2"), F.col("low2")))).where((F.col("bits") <= radius) & (first == F.col("t")))
-    found = close.select("high", "low", "high2", "low2", "bits")
-    named = found.join(queries.select("query", "high", "low"), ["high", "low"]).select("query", "high2", "low2", "bits")
+    close = ask.join(give, ["t", "key"]).withColumn("bits", distance((F.col("high"), F.col("low")), (F.col("high2"), F.col("low2"))))
+    return close.where((F.col("bits") <= radius) & (first == F.col("t"))).select("high", "low", "high2", "low2", "bits")
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(query, id, bits) for all ``prints(id, high, low)`` at most ``radius`` bits from ``queries(query, high, low)``."""
+    named = close_prints(queries, prints, radius).join(queries.select("query", "high", "low"), ["high", "low"]).select("query", "high2", "low2", "bits")
     return named.join(prints.select("id", F.col("high").alias("high2"), F.col("low").alias("low2")), ["high2", "low2"]).select("query", "id", "bits")
+
+
+def count_within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(query, n) with the number of rows of ``prints`` within the radius; equal fingerprints are counted and not listed."""
+    often = prints.groupBy(F.col("high").alias("high2"), F.col("low").alias("low2")).agg(F.count("*").alias("n"))
+    sums = close_prints(queries, prints, radius).join(often, ["high2", "low2"]).groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return queries.select("query", "high", "low").distinct().join(sums, ["high", "low"]).select("query", "n")

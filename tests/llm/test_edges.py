@@ -419,6 +419,7 @@ def test_fingerprints_with_edits(docs, clashing, nothing):
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
     assert all(len(f) == 1 for f in by_text.values()) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert {r.fingerprint for r in rows if r.n_chars == 0} == {"0" * 32}
+    assert all((r.n_within_radius is not None) == (r.doc_id is not None and r.doc_id % 50 == 0) for r in rows)
     assert simhash.fingerprints_with_edits(nothing).count() == 0
 
 
@@ -448,6 +449,8 @@ def test_all_within_radius(spark):
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     df = spark.createDataFrame([(i, signed(x >> 64), signed(x & (2**64 - 1))) for i, x in enumerate(rows)], "id long, high long, low long")
     queries = df.where("id % 3 = 0").withColumnRenamed("id", "query")
+    counted = {r["query"]: r.n for r in simhash.count_within_radius(queries, df, 3).collect()}
+    assert counted == {i: sum((x ^ y).bit_count() <= 3 for y in rows) for i, x in enumerate(rows) if i % 3 == 0}
     got = Counter((r["query"], r.id, r.bits) for r in simhash.within_radius(queries, df, 3).collect())
     assert got == Counter((i, j, (x ^ y).bit_count()) for i, x in enumerate(rows) if i % 3 == 0 for j, y in enumerate(rows) if (x ^ y).bit_count() <= 3)
 
