@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import rounded, significant, trailing
+from gridfolio.operators import evaluation as ev
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators.calendar import rebalance_schedule, rebalance_windows
 from gridfolio.operators.panels import forward_fill
@@ -73,6 +74,28 @@ portfolio_views("fx", bps=BPS, top_n=10, bottom_n=10, groups=(1, 5), lag=1)
 portfolio_views("sn", bps=BPS, quantiles=4, groups=(1, 2, 3, 4), min_assets=8, sector_neutral=True, sector_unit=True, weighting="cap")
 portfolio_views("ix", score="cap", quantiles=1, groups=(1,), shorts=(), weighting="cap")
 portfolio_views("ms", bps=BPS, min_score=0.1, min_assets=40)
+portfolio_views("mk", bps=BPS, masked=True)
+
+
+def masked(spark, sf) -> pf.Evaluation:
+    """The base rules over panels as a user has them: long tables, masked by the members of the universe."""
+    close = tables.bars(spark, sf).select("date", "ticker", C("close").alias("value"))
+    opens = tables.bars(spark, sf).select("date", "ticker", C("open").alias("value"))
+    scores = tables.scores(spark, sf, ["b"]).select("date", "ticker", "score")
+    caps = tables.market_caps(spark, sf).where(C("cap").isNotNull()).select("date", "ticker", C("cap").alias("value"))
+    data = ev.build_panel({"all": scores}, close, opens=opens, caps=caps, universe=tables.universe(spark, sf))
+    return ev.evaluate(data, BASE)
+
+
+@query("pf30_masked_groups", "select entry_date, gid as group_id, ticker from mk_mem")
+def pf30(spark, sf):
+    bt = masked(spark, sf)
+    return member_cols(bt.members, bt.windows).select("entry_date", "group_id", "ticker")
+
+
+@query("pf31_masked_growth", f"select gid as group_id, entry_date, exit_date, {r('f', 9)} as factor from mk_f")
+def pf31(spark, sf):
+    return masked(spark, sf).growth.select("group_id", "entry_date", "exit_date", rounded(C("factor"), 9).alias("factor"))
 
 
 def base(spark, sf) -> pf.Evaluation:

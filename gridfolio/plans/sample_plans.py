@@ -83,14 +83,6 @@ def jn3(spark, sf):
     return out.select("ticker", "date", rounded(C("score")).alias("score"), rounded(C("cap"), 2).alias("cap"))
 
 
-view(
-    "mask_w",
-    """select ticker, pos, coalesce(last_value(member ignore nulls) over (partition by ticker order by pos), 0) as member,
-        coalesce(max(member) over (partition by ticker), 0) > 0 as ever
-       from (select g.ticker, g.pos, u.member from grid_w g left join universe_w u on u.ticker = g.ticker and u.date = g.date)""",
-)
-
-
 @query(
     "jn4_membership_mask",
     f"""select g.ticker, g.date, g.close, {r('case when m.member > 0 then s.score_b end')} as score,

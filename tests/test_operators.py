@@ -14,6 +14,7 @@ from gridfolio.functions import features as feat
 from gridfolio.functions.ewm import with_ewm
 from gridfolio.operators import alignment as al
 from gridfolio.operators import cleaning as cl
+from gridfolio.operators import evaluation as ev
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators import reports as rp
 from gridfolio.operators import samples as sm
@@ -398,3 +399,36 @@ def test_inputs_that_cannot_be_evaluated(spark):
         al.membership_mask(frame(spark, [(DAY, "A", 0.0)], "date date, ticker string, member double"), calendar)
     with pytest.raises(TypeError, match="rows per"):
         per_day(frame(spark, [(1, "a")], "window_id int, run string"), "window_id")
+
+
+# ------------------------------------------------------------------ evaluations of own panels
+
+
+def own_data(spark, n_days=90, n_tickers=6, **more):
+    rng = random.Random(7)
+    rows = [(d, f"t{i}", 10.0 + rng.random()) for d in days(n_days) for i in range(n_tickers)]
+    close = frame(spark, rows, "date date, ticker string, value double")
+    scores = {m: frame(spark, [(d, t, rng.random()) for d, t, _ in rows], "date date, ticker string, score double") for m in ("x", "y")}
+    return ev.build_panel(scores, close, **more)
+
+
+def test_sweep_logs_failures_and_selects_groups(spark):
+    done = ev.sweep(own_data(spark), {"two": {"quantiles": 2, "min_assets": 4}, "bad": {"quantiles": 0}, "none": {"freq": "Y"}, "odd": {"nonsense": 1}, "three": {"quantiles": 3, "min_assets": 3, "long_short": "off"}})
+    assert sorted(done.failed) == ["bad", "none", "odd"] and "quantile" in done.failed["bad"] and "window" in done.failed["none"]
+    assert done.runs() == ["two:x", "two:y", "three:x", "three:y"]
+    got = done.table("equity", {"two:x": ["q2", "net"], "three:y": ["q3"]}).select("run", "group_id").distinct().collect()
+    assert sorted(map(tuple, got)) == [("three:y", "q3"), ("two:x", "net"), ("two:x", "q2")]
+    with pytest.raises(ValueError, match="unknown groups"):
+        done.table("equity", {"two:x": ["q9"]})
+    with pytest.raises(ValueError, match="unknown run"):
+        done.table("equity", {"four:x": ["q1"]})
+
+
+def test_panel_is_cut_and_masked(spark):
+    members = frame(spark, [(DAY + dt.timedelta(days=9), f"t{i}", float(i < 3)) for i in range(6)], "date date, ticker string, member double")
+    data = own_data(spark, universe=members, first="2024-01-10", last="2024-02-20", symbol="t2")
+    with pytest.raises(ValueError, match="member"):
+        own_data(spark, universe=members.withColumn("member", F.lit(0.0)))
+    with pytest.raises(ValueError, match="two dates"):
+        own_data(spark, first="2024-03-29", last="2024-03-29")
+    assert data.calendar.count() == 42 and {r.ticker for r in data.panel.select("ticker").distinct().collect()} == {"t0", "t1"}
