@@ -214,7 +214,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = stored(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    texts = stored(texts.join(needed, "id", "left_semi").distinct(), "texts")
+    # the ids grow with the corpus, so the join is stated: the same plan at every size
+    texts = stored(texts.join(needed.hint("merge"), "id", "left_semi").distinct(), "texts")
 
     copies = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links = stored(similar_pairs(pairs, texts, threshold).unionByName(copies), "links")
