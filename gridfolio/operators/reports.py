@@ -137,10 +137,14 @@ def monthly_summary(monthly: DataFrame) -> DataFrame:
 
 
 def excess(monthly: DataFrame, bench_monthly: DataFrame) -> DataFrame:
-    """Group minus benchmark month by month; a missing side counts as 0."""
-    bench = bench_monthly.select("exit_date", C("monthly_return").alias("b"))
-    joined = monthly.join(per_day(bench, "exit_date"), "exit_date", "left")
-    return joined.withColumn("excess", F.coalesce("monthly_return", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).drop("b")
+    """Group minus benchmark for every month that either has; a missing side counts as 0.
+
+    The benchmark's months, a row each, are laid out for every group and added up with the group's own.
+    """
+    months = bench_monthly.agg(F.collect_list(F.struct("exit_date", (-C("monthly_return")).alias("excess")))).scalar()
+    bench = monthly.select(*KEY).distinct().select(*KEY, F.explode(months).alias("m")).select(*KEY, "m.*")
+    own = monthly.select(*KEY, "exit_date", C("monthly_return").alias("excess"))
+    return own.unionByName(bench).groupBy(*KEY, "exit_date").agg(F.coalesce(F.sum("excess"), F.lit(0.0)).alias("excess"))
 
 
 def histogram(values: DataFrame, value: str, bins: Column | None = None) -> DataFrame:

@@ -322,6 +322,12 @@ def pf18(spark, sf):
     )
 
 
+@query("pf18_halted_names", "select entry_date, gid as group_id, ticker from pb_prc where halted")
+def pf18_names(spark, sf):
+    """The names a trade note counts, those dropped for a wild price included."""
+    return pf.halted_names(base(spark, sf)).select("entry_date", "group_id", "ticker")
+
+
 def equity_sql(t: str, where: str = "true") -> str:
     return f"select gid as group_id, date, {sig('eq')} as equity from {t}_eq where {where}"
 

@@ -242,10 +242,11 @@ def agg21(spark, sf):
 # ------------------------------------------------------------------ monthly reports
 
 
-@query("rep1_equity_return_frames", "select date, " + ", ".join(f"{sig(f"max(case when gid = 'q{i}' then eq end)")} as q{i}" for i in range(1, 6)) + " from pb_eq group by date")
+@query("rep1_equity_return_frames", "select date, " + ", ".join(f"{sig(f"max(case when gid = 'q{i}' then eq end)")} as q{i}" for i in range(1, 6)) + f", {sig("max(case when gid = 'net' then eq end)")} as net from pb_eq group by date")
 def rep1(spark, sf):
-    wide = base(spark, sf).equity.groupBy("date").pivot("group_id", [f"q{i}" for i in range(1, 6)]).agg(F.max("equity"))
-    return wide.select("date", *[significant(C(f"q{i}")).alias(f"q{i}") for i in range(1, 6)])
+    names = [*(f"q{i}" for i in range(1, 6)), "net"]
+    wide = base(spark, sf).equity.groupBy("date").pivot("group_id", names).agg(F.max("equity"))
+    return wide.select("date", *[significant(C(n)).alias(n) for n in names])
 
 
 MONTH_SQL = ", ".join(f"{r(f'max(case when month(exit_date) = {i} then mr end)')} as m{i}" for i in range(1, 13))
@@ -272,11 +273,19 @@ def rep4(spark, sf):
     return out.select("group_id", rounded(C("monthly_avg_return")).alias("monthly_avg_return"), rounded(C("monthly_win_rate")).alias("monthly_win_rate"))
 
 
-@query("rep5_excess_matrix", f"select p.gid as group_id, p.exit_date, {r('p.mr - coalesce(b.mr, 0)')} as excess from ({LAST_SQL}) p left join bench_mon b on b.exit_date = p.exit_date")
+BENCH_LAST = "select exit_date, mr from bench_mon qualify row_number() over (order by exit_date desc) <= 12"
+
+
+@query(
+    "rep5_excess_matrix",
+    f"""select c.gid as group_id, c.exit_date, {r('coalesce(p.mr, 0) - coalesce(b.mr, 0)')} as excess
+        from (select gid, exit_date from ({LAST_SQL}) union select g.gid, b.exit_date from (select distinct gid from pb_mon) g cross join ({BENCH_LAST}) b) c
+        left join ({LAST_SQL}) p on p.gid = c.gid and p.exit_date = c.exit_date left join ({BENCH_LAST}) b on b.exit_date = c.exit_date""",
+)
 def rep5(spark, sf):
     bt = base(spark, sf)
     recent = rp.last_months(rp.monthly_returns(bt.equity), 12)
-    out = rp.excess(recent, rp.monthly_returns(benchmark(spark, sf, bt)))
+    out = rp.excess(recent, rp.last_months(rp.monthly_returns(benchmark(spark, sf, bt)), 12))
     return out.select("group_id", "exit_date", rounded(C("excess")).alias("excess"))
 
 
