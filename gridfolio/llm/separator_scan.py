@@ -1,10 +1,11 @@
 """Document boundaries in flat files of token ids that have no index.
 
-A file is nothing but little-endian 32-bit ids, a separator after each document. It is read in blocks by byte ranges;
-a task finds the separators of a block in one vectorised comparison and sends one row per document that *ends* there,
-and one per block. Boundaries are stitched by a prefix scan over blocks: where the last separator before a block lies,
-and how many there were. The scan runs inside files and over one row per file, so neither a file nor the whole table
-passes through one task.
+A file is nothing but little-endian ids of 16 bits (32 where the vocabulary needs them), a separator after each
+document. Documents are written where they lie, so nothing is shuffled; a narrow table keeps which document was the
+how-manieth of which file, and no lengths. A file is read in blocks by byte ranges: a task finds the separators of a
+block in one vectorised comparison and sends the ends it found. Boundaries are stitched by a prefix scan over blocks:
+where the last separator before a block lies, and how many there were. The scan runs inside files and over one row
+per file, so neither a file nor the whole table passes through one task.
 
 Defined cases: ids after the last separator of a file are a document of their own, with ``ended`` false; two
 separators in a row bound an empty document; files of no bytes hold no document. Documents never cross files.
@@ -13,6 +14,7 @@ separators in a row bound an empty document; files of no bytes hold no document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,47 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.llm.common import file_system, in_order, new_file, new_path, running_totals, stored
+from gridfolio.llm.common import file_system, new_file, new_path, running_totals, stored
 from gridfolio.llm.token_orc import default_tokenizer, encode_batches
 
 SEPARATOR = 50256
 BLOCK_IDS = 1 << 20
+WIDTH = 2  # bytes of an id: the vocabulary has fewer than 65,536
 
 
-def write_flat(documents: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR) -> DataFrame:
-    """Write the ids of the documents, ascending doc_id, one file per range. Returns the stored manifest (file, path, n_ids).
+def write_flat(documents: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
+    """Write the ids of the documents, one file per partition. Returns the stored (file, path, place, doc_id): who lies where.
 
     The vocabulary's own end-of-text id is the separator; special tokens are ordinary text, so no document holds it.
     """
-    ordered = in_order(documents.select("doc_id", "text"), ["doc_id"], "file").select("file", "text")
+    kind = dict(documents.dtypes)["doc_id"]
+    placed = documents.select(F.spark_partition_id().alias("file"), "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        number, n = first.column("file")[0].as_py(), 0
+        place = 0
+        with new_file(folder, f"ids-{first.column('file')[0].as_py():06d}") as (path, stream):
+            for batch in encode_batches(chain([first], batches), tokenizer or default_tokenizer(), separator):
+                stream.write(batch.column("ids").values.to_numpy().astype(f"<u{width}").tobytes())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([path] * n), pa.array(np.arange(place, place + n)), batch.column("doc_id")], ["file", "path", "place", "doc_id"])
+                place += n
 
-        def again() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
+    return stored(placed.mapInArrow(write, f"file int, path string, place long, doc_id {kind}"), "places")
 
-        with new_file(folder, f"ids-{number:06d}.u32") as (path, stream):
-            for batch in encode_batches(again(), tokenizer or default_tokenizer(), separator):
-                ids = batch.column("ids").values.to_numpy()
-                stream.write(ids.astype("<u4", copy=False).tobytes())
-                n += len(ids)
-        yield pa.RecordBatch.from_pydict({"file": [number], "path": [path], "n_ids": [n]}, schema=pa.schema({"file": pa.int32(), "path": pa.string(), "n_ids": pa.int64()}))
 
-    return stored(ordered.mapInArrow(write, "file int, path string, n_ids long"), "flat")
+def sized(files: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(file, path, n_ids) of ``files(file, path)``, by the size of each file."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places = [file_system(p) for p in b["path"]]
+            yield b.assign(n_ids=[system.get_file_info(path).size // width for system, path in places])
+
+    return stored(files.select("file", "path").distinct().mapInPandas(look, "file int, path string, n_ids long"), "files")
 
 
-def scan(files: DataFrame, separator: int = SEPARATOR, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, number, start, n_tokens, ended) per document of ``files(file, path, n_ids)``.
+def scan(files: DataFrame, separator: int = SEPARATOR, block_ids: int = BLOCK_IDS, width: int = WIDTH) -> DataFrame:
+    """(file, place, number, start, n_tokens, ended) per document of ``files(file, path, n_ids)``.
 
-    ``number`` counts the documents of all files in the order of ``file``, ``start`` the ids before a document;
-    ``n_tokens`` includes the separator.
+    ``place`` counts the documents of a file, ``number`` those of all files in the order of ``file``; ``start`` is the
+    ids of all files before a document; ``n_tokens`` includes the separator.
     """
     step = F.lit(block_ids)
     blocks = files.where("n_ids > 0").select("file", "path", "n_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_ids") / step) - 1)).alias("block"))
@@ -72,7 +80,7 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block_ids: int = BLOCK_ID
                 at, n = r.block * block_ids, min(block_ids, r.n_ids - r.block * block_ids)
                 system, path = file_system(r.path)
                 with system.open_input_file(path) as f:
-                    ids = np.frombuffer(f.read_at(4 * n, 4 * at), "<u4")
+                    ids = np.frombuffer(f.read_at(width * n, width * at), f"<u{width}")
                 ends = np.flatnonzero(ids == separator) + at + 1
                 last = r.n_ids == at + n and (not len(ends) or ends[-1] != r.n_ids)  # a tail without separator
                 yield pd.DataFrame({"file": [r.file], "block": [r.block], "ends": [np.append(ends, r.n_ids) if last else ends], "ended": [not last]})
@@ -85,18 +93,15 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block_ids: int = BLOCK_ID
     docs = found.join(carried, ["file", "block"]).join(before, "file").select("file", "ids", "documents", "n_before", "from", "ends", "ended", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("from")).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))))
     tail = ~F.col("ended") & (F.col("i") == F.size("ends") - 1)
-    return docs.select("file", (F.col("documents") + F.col("n_before") + F.col("i")).alias("number"), (F.col("ids") + start).alias("start"), (F.col("end") - start).alias("n_tokens"), (~tail).alias("ended"))
+    place = F.col("n_before") + F.col("i")
+    return docs.select("file", place.alias("place"), (F.col("documents") + place).alias("number"), (F.col("ids") + start).alias("start"), (F.col("end") - start).alias("n_tokens"), (~tail).alias("ended"))
 
 
 def counted_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, number, start, n_tokens) of every document, from flat files and not from the encoder's own counts.
+    """(doc_id, number, start, n_tokens) of every document, from the flat files and not from the encoder's own counts.
 
-    Documents are named by their place in the order the files were written in: ``number`` is joined to the rank of
-    doc_id. A null text is empty; a null doc_id comes first; equal doc_ids take their places in any order.
+    A null text is empty; rows of null or equal doc_ids are documents like any other.
     """
-    counts = scan(write_flat(documents, new_path(documents.sparkSession, "flat-ids"), tokenizer))
-    ranks = stored(in_order(documents.select("doc_id"), ["doc_id"], "part"), "ranks")
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
-    before = running_totals(ranks.withColumn("one", F.lit(1)), "part", {"before": "one"})
-    named = ranks.withColumn("n", F.row_number().over(inside)).join(before, "part").select("doc_id", (F.col("before") + F.col("n") - 1).alias("number"))
-    return counts.join(named, "number").select("doc_id", "number", "start", "n_tokens")
+    places = write_flat(documents, new_path(documents.sparkSession, "flat-ids"), tokenizer)
+    found = scan(sized(places))
+    return found.join(places.select("file", "place", "doc_id"), ["file", "place"]).select("doc_id", "number", "start", "n_tokens")

@@ -162,8 +162,9 @@ def test_orc_and_flat_files(spark, docs, clashing, nothing, whole_ids):
     starts = np.cumsum([0, *map(len, ids)])
     want = Counter((r.doc_id, int(s), len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for r, s, i in zip(rows, starts, ids, strict=False))
     assert Counter(map(tuple, token_orc.tokens_through_orc(clashing).collect())) == want
-    flat = Counter((r.doc_id, r.start, r.n_tokens) for r in separator_scan.counted_documents(clashing).collect())
-    assert flat == Counter({k[:3]: n for k, n in want.items()})
+    flat = sorted(separator_scan.counted_documents(clashing).collect(), key=lambda r: r.number)
+    assert Counter((r.doc_id, r.n_tokens) for r in flat) == Counter((r.doc_id, len(i)) for r, i in zip(rows, ids, strict=True))
+    assert [r.number for r in flat] == list(range(len(rows))) and [r.start for r in flat] == np.cumsum([0, *(r.n_tokens for r in flat)])[:-1].tolist()
     assert token_orc.tokens_through_orc(nothing).count() == separator_scan.counted_documents(nothing).count() == 0
 
 
@@ -183,21 +184,21 @@ def test_orc_metadata(spark, docs):
     assert files and any(b"doc_id" in open(f, "rb").read() for f in files)
 
 
-@pytest.mark.parametrize("block", [1, 2, 7, 1000])
-def test_scan_stitches_blocks(spark, tmp_path, block):
+@pytest.mark.parametrize(("block", "width"), [(1, 4), (2, 2), (7, 4), (1000, 2)])
+def test_scan_stitches_blocks(spark, tmp_path, block, width):
     rng, rows, want, ids_before, docs_before = random.Random(block), [], [], 0, 0
     for f in range(3):
         ids = [rng.choice([9, 9, 9, 0]) for _ in range(rng.randrange(40))] if f != 1 else []
-        (tmp_path / str(f)).write_bytes(np.array(ids, "<u4").tobytes())
-        rows.append((f, f"file://{tmp_path}/{f}", len(ids)))
-        start = 0
+        (tmp_path / str(f)).write_bytes(np.array(ids, f"<u{width}").tobytes())
+        rows.append((f, f"file://{tmp_path}/{f}"))
+        start, place = 0, 0
         for i, x in enumerate(ids):
             if x == 0 or i == len(ids) - 1:
-                want.append((f, docs_before, ids_before + start, i + 1 - start, x == 0))
-                docs_before, start = docs_before + 1, i + 1
+                want.append((f, place, docs_before, ids_before + start, i + 1 - start, x == 0))
+                docs_before, place, start = docs_before + 1, place + 1, i + 1
         ids_before += len(ids)
-    files = spark.createDataFrame(rows, "file int, path string, n_ids long")
-    assert sorted(map(tuple, separator_scan.scan(files, 0, block).collect())) == want
+    files = separator_scan.sized(spark.createDataFrame(rows, "file int, path string"), width)
+    assert sorted(map(tuple, separator_scan.scan(files, 0, block, width).collect())) == want
 
 
 # 4. near copies -----------------------------------------------------------------------
