@@ -26,6 +26,8 @@ from gridfolio.llm.common import stored
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of tokens wanted per domain.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
+#: Shares for documents of which toxic ones are already gone, and how often one may be read.
+KEPT_TARGETS, MOST_READ = {"good": 0.9, "poor": 0.1}, 4.0
 STEPS, CLOSE = 30, 1e-6
 SPREAD = 0.05  # least standard deviation of a measure inside a domain
 
@@ -85,22 +87,23 @@ def posteriors(model: list[dict], names: list[str]) -> Column:
     return F.array(*[w / total for w in weights])
 
 
-def rate(moves: list[np.ndarray], floor: float) -> Column:
-    """A document's rate after the steps so far: from 1, each step subtracts p . move and projects on [floor, inf)."""
+def rate(moves: list[np.ndarray], floor: float, ceiling: float = math.inf) -> Column:
+    """A document's rate after the steps so far: from 1, each step subtracts p . move and projects on [floor, ceiling]."""
     start = F.lit(max(1.0, floor))
     if not moves:
         return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
     p = F.col("p")
     dot = lambda m: sum((p[k] * m[k] for k in range(1, len(DOMAINS))), p[0] * m[0])
-    return F.aggregate(steps, start, lambda r, m: F.greatest(F.lit(float(floor)), r - dot(m)))
+    return F.aggregate(steps, start, lambda r, m: F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), r - dot(m))))
 
 
-def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, floor: float = 0.0) -> DataFrame:
+def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, floor: float = 0.0, ceiling: float = math.inf) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate) of every row; a repeated doc_id gives a row each time.
 
     ``budget`` is the number of expected tokens wanted; None keeps that of the documents, or with a ``floor`` of 1
-    takes the smallest number at which every domain's target is at least what the documents already have.
+    takes the smallest number at which every domain's target is at least what the documents already have. With a
+    ``ceiling`` no document is read more often than that, and targets out of reach are missed by least squares.
     """
     rows = stored(measured(documents), "measures")
     names = [c for c in rows.columns if c not in ("doc_id", "tokens")]
@@ -109,7 +112,7 @@ def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, flo
     k = len(DOMAINS)
 
     def expected(moves: list[np.ndarray]) -> np.ndarray:
-        r = docs.select("tokens", "p", rate(moves, floor).alias("r"))
+        r = docs.select("tokens", "p", rate(moves, floor, ceiling).alias("r"))
         row = r.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")), F.lit(0.0)) for i in range(k)]).first()
         return np.array(row, float)
 
@@ -133,16 +136,16 @@ def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, flo
         if np.abs(gap).max(initial=0.0) <= CLOSE * max(budget, 1.0):
             break
         moves.append(inverse @ gap)
-    return docs.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate(moves, floor).alias("rate"))
+    return docs.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate(moves, floor, ceiling).alias("rate"))
 
 
-def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = KEPT_TARGETS) -> DataFrame:
     """``documents`` as they are read in one pass of the mixture: every row at least once, others as often as their rate.
 
-    Rates are at least 1, so no document is lost; the fraction of a rate becomes one more copy for that share of ids,
+    Rates lie between 1 and ``MOST_READ``, so no document is lost and none is read too often; the fraction of a rate becomes one more copy for that share of ids,
     by a hash of the id. Columns and texts stay as they are.
     """
-    rates = mixing_rates(documents, labels, targets, floor=1.0)
+    rates = mixing_rates(documents, labels, targets, floor=1.0, ceiling=MOST_READ)
     # rows of one id have equal rates only if their texts are equal: the mean serves all of them
     rates = rates.groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
     share = F.pmod(F.xxhash64("_id", F.lit("mixing")), F.lit(1_000_000)) / 1_000_000

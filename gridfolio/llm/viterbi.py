@@ -248,8 +248,8 @@ def encoded(documents: DataFrame, model: str | None = None, scores: str = "rank"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = pieces.encoder()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 found = to_ids(texts)
                 same = [pieces.decode(np.frombuffer(f, "<i4")) == t for f, t in zip(found, texts, strict=True)]
