@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from gridfolio.llm.chunk_ids import ChunkEncoder, id_lists
 from gridfolio.llm.common import in_order, new_path, running_totals, stored
 
 END_ID = 2
+REMEMBERED = 1_000_000  # distinct pieces a worker remembers; some 200 MB, which changes no result
 STRIPE_BYTES, ROW_INDEX, BLOOM_FPP = 64 << 20, 1000, 0.01
 pieces = re.compile(r"\s*\S+|\s+\Z").findall
 
@@ -38,8 +39,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
 def byte_bpe(path: str) -> ChunkEncoder:
-    """An encoder of a byte-level vocabulary of the tokenizers library; ids as the library gives them for whole texts."""
+    """An encoder of a byte-level vocabulary of the tokenizers library; ids as the library gives them for whole texts.
+
+    A Python worker loads the vocabulary once and keeps the encoder, with what it remembers, for its later tasks.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +69,7 @@ def byte_bpe(path: str) -> ChunkEncoder:
             out += [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
         return out
 
-    return ChunkEncoder(pieces, encode)
+    return ChunkEncoder(pieces, encode, REMEMBERED, 4 << 20)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
