@@ -9,13 +9,19 @@ leave the executors, and a rate is a fold over the K numbers of all earlier step
 
 Defined cases: null and empty texts have no tokens and a rate like any other document; labels with a null are not
 learnt from; several labels of a document: the smallest quality and the largest toxic count; a domain without labels
-has posterior 0 and is left out of the targets, and with no labels at all the prior is uniform. A domain of which
-there are no tokens cannot reach its target; least squares then comes as near as it can.
+has posterior 0 and is left out of the targets, and with no labels at all the prior is uniform. A domain that the
+targets do not name is asked nothing, and shares are those among the named ones. Targets that no rates reach are
+approached by least squares, and a warning states the shares.
+
+With a floor of 1 and no stated budget only the shares are wanted. The rates are then those nearest to 1, by squares
+weighted with tokens, that have exactly these shares: r = max(1, 1 + p . m) for a vector m of K numbers, found by a few
+Newton steps, each an aggregate over all documents.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,9 +32,10 @@ from gridfolio.llm.common import stored
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of tokens wanted per domain.
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
-#: Shares for documents of which toxic ones are already gone, and how often one may be read.
-KEPT_TARGETS, MOST_READ = {"good": 0.9, "poor": 0.1}, 4.0
+#: Shares for documents of which toxic ones are already gone.
+KEPT_TARGETS = {"good": 0.9, "poor": 0.1}
 STEPS, CLOSE = 30, 1e-6
+MISSED = 1e-3  # a share further than this from its target is warned of
 SPREAD = 0.05  # least standard deviation of a measure inside a domain
 
 
@@ -87,23 +94,71 @@ def posteriors(model: list[dict], names: list[str]) -> Column:
     return F.array(*[w / total for w in weights])
 
 
-def rate(moves: list[np.ndarray], floor: float, ceiling: float = math.inf) -> Column:
-    """A document's rate after the steps so far: from 1, each step subtracts p . move and projects on [floor, ceiling]."""
+def rate(moves: list[np.ndarray], floor: float) -> Column:
+    """A document's rate after the steps so far: from 1, each step subtracts p . move and keeps it at ``floor`` or above."""
     start = F.lit(max(1.0, floor))
     if not moves:
         return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
     p = F.col("p")
     dot = lambda m: sum((p[k] * m[k] for k in range(1, len(DOMAINS))), p[0] * m[0])
-    return F.aggregate(steps, start, lambda r, m: F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(floor)), r - dot(m))))
+    return F.aggregate(steps, start, lambda r, m: F.greatest(F.lit(float(floor)), r - dot(m)))
+
 
+def nearest_move(docs: DataFrame, share: np.ndarray, asked: np.ndarray, floor: float) -> np.ndarray | None:
+    """The one step after which the tokens of the domains ``asked`` have exactly the shares; None if no rates from ``floor`` on have them.
 
-def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, floor: float = 0.0, ceiling: float = math.inf) -> DataFrame:
+    Rates max(floor, start + p . m), with m orthogonal to the shares, are those nearest to the start. m minimises a
+    convex function whose gradient is the tokens' part orthogonal to the shares: Newton steps, halved until it falls.
+    """
+    k, at = len(DOMAINS), np.flatnonzero(asked)
+    if len(at) < 2:
+        return np.zeros(k)
+    free = np.zeros((k, len(at) - 1))
+    free[at] = np.linalg.svd(share[at][None])[2][1:].T  # directions orthogonal to the shares
+    p, low, start = F.col("p"), float(floor), max(1.0, floor)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, tokens per domain and second moments of the documents above the floor."""
+        x, t = F.col("x"), F.col("tokens")
+        value = t * F.when(x >= low, x * x / 2).otherwise(x * low - low * low / 2)
+        above = F.when(x >= low, t).otherwise(0.0)
+        terms = [value, *[t * p[i] * F.greatest(x, F.lit(low)) for i in range(k)], *[above * p[i] * p[j] for i, j in pairs]]
+        moved = sum((p[i] * float(m[i]) for i in range(1, k)), p[0] * float(m[0]))
+        row = np.array(docs.select("tokens", "p", (moved + start).alias("x")).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in terms]).first(), float)
+        second = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[1 + k :], strict=True):
+            second[i, j] = second[j, i] = v
+        return row[0], row[1 : 1 + k], second
+
+    m = np.zeros(k)
+    value, got, second = sums(m)
+    for _ in range(STEPS):
+        slope = free.T @ got
+        if np.abs(slope).max() <= CLOSE * got[at].sum():
+            return -m
+        way = -np.linalg.pinv(free.T @ second @ free, hermitian=True) @ slope
+        falls, length = float(slope @ way), 1.0
+        if not falls < 0:  # nothing above the floor can be moved
+            return None
+        while True:
+            there = m + length * (free @ way)
+            found = sums(there)
+            if found[0] <= value + 1e-4 * length * falls + 1e-12 * abs(value):
+                break
+            length /= 2
+            if length < 1e-6:
+                return None
+        m, (value, got, second) = there, found
+    return None
+
+
+def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, floor: float = 0.0) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate) of every row; a repeated doc_id gives a row each time.
 
-    ``budget`` is the number of expected tokens wanted; None keeps that of the documents, or with a ``floor`` of 1
-    takes the smallest number at which every domain's target is at least what the documents already have. With a
-    ``ceiling`` no document is read more often than that, and targets out of reach are missed by least squares.
+    ``budget`` is the number of expected tokens wanted in the domains of ``targets``; None keeps that of the documents,
+    or with a ``floor`` of 1 takes what the rates nearest to 1 need to have the shares.
     """
     rows = stored(measured(documents), "measures")
     names = [c for c in rows.columns if c not in ("doc_id", "tokens")]
@@ -112,7 +167,7 @@ def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, flo
     k = len(DOMAINS)
 
     def expected(moves: list[np.ndarray]) -> np.ndarray:
-        r = docs.select("tokens", "p", rate(moves, floor, ceiling).alias("r"))
+        r = docs.select("tokens", "p", rate(moves, floor).alias("r"))
         row = r.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")), F.lit(0.0)) for i in range(k)]).first()
         return np.array(row, float)
 
@@ -122,30 +177,42 @@ def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, flo
     for (i, j), v in zip(pairs, second, strict=True):
         square[i, j] = square[j, i] = v
     now = square.sum(axis=1)  # tokens per domain at rate 1
+    named = np.array([d in targets for d in DOMAINS])
     share = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (now > 0)
     share = share / share.sum() if share.sum() else share
-    if budget is None:
-        budget = float(now.sum()) if floor < 1 else max((n / s for n, s in zip(now, share, strict=True) if s), default=0.0)
-    want = share * budget
-    # distances are weighted by the inverse of the second moments: with documents measured by their tokens the
-    # curvature is then 1, and a step of length 1 is a safe gradient step however unequal the domains are
-    inverse = np.linalg.pinv(square, hermitian=True)
     moves: list[np.ndarray] = []
-    for _ in range(STEPS):
-        gap = expected(moves) - want
-        if np.abs(gap).max(initial=0.0) <= CLOSE * max(budget, 1.0):
-            break
-        moves.append(inverse @ gap)
-    return docs.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate(moves, floor, ceiling).alias("rate"))
+    only_shares = budget is None and floor >= 1
+    move = nearest_move(docs, share, named & (now > 0), floor) if only_shares and share.sum() else None
+    if move is not None:
+        moves = [move]
+    else:
+        if budget is None:
+            budget = float(now[named].sum()) if floor < 1 else max((n / s for n, s in zip(now, share, strict=True) if s), default=0.0)
+        want = share * budget
+        # distances are weighted by the inverse of the second moments: with documents measured by their tokens the
+        # curvature is then 1, and a step of length 1 is a safe gradient step however unequal the domains are
+        inverse = np.zeros((k, k))
+        inverse[np.ix_(named, named)] = np.linalg.pinv(square[np.ix_(named, named)], hermitian=True)
+        for _ in range(STEPS):
+            gap = (expected(moves) - want) * named
+            if np.abs(gap).max(initial=0.0) <= CLOSE * max(budget, 1.0):
+                break
+            moves.append(inverse @ gap)
+    got = expected(moves) * named
+    reached = got / got.sum() if got.sum() else got
+    asked = np.array([targets.get(d, 0.0) for d in DOMAINS]) / (sum(targets.values()) or 1.0)
+    if got.sum() and np.abs(reached - asked).max() > MISSED:
+        warnings.warn("mixing missed its targets: " + ", ".join(f"{d} {r:.4f} of {w:.4f}" for d, r, w, n in zip(DOMAINS, reached, asked, named, strict=True) if n), stacklevel=2)
+    return docs.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate(moves, floor).alias("rate"))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = KEPT_TARGETS) -> DataFrame:
     """``documents`` as they are read in one pass of the mixture: every row at least once, others as often as their rate.
 
-    Rates lie between 1 and ``MOST_READ``, so no document is lost and none is read too often; the fraction of a rate becomes one more copy for that share of ids,
-    by a hash of the id. Columns and texts stay as they are.
+    Rates are at least 1, so no document is lost, and as large as the shares ask for; the fraction of a rate becomes one
+    more copy for that share of ids, by a hash of the id. Columns and texts stay as they are.
     """
-    rates = mixing_rates(documents, labels, targets, floor=1.0, ceiling=MOST_READ)
+    rates = mixing_rates(documents, labels, targets, floor=1.0)
     # rows of one id have equal rates only if their texts are equal: the mean serves all of them
     rates = rates.groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
     share = F.pmod(F.xxhash64("_id", F.lit("mixing")), F.lit(1_000_000)) / 1_000_000

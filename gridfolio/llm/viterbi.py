@@ -242,7 +242,10 @@ def default_model() -> str:
 
 
 def encoded(documents: DataFrame, model: str | None = None, scores: str = "rank") -> DataFrame:
-    """(doc_id, ids, n_ids, round_trip) of every row; round_trip says that decoding the ids gives the text."""
+    """(doc_id, ids, n_ids, round_trip) of every row; round_trip says that decoding the ids gives the text.
+
+    Rows of one text that lie together, as copies of a mixture do, are encoded and decoded once.
+    """
     pieces = Pieces.load(model or default_model(), scores)  # as large as the vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +253,11 @@ def encoded(documents: DataFrame, model: str | None = None, scores: str = "rank"
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                found = to_ids(texts)
-                same = [pieces.decode(np.frombuffer(f, "<i4")) == t for f, t in zip(found, texts, strict=True)]
+                coded = batch.column(1).dictionary_encode(null_encoding="encode")
+                texts, which = [t or "" for t in coded.dictionary.to_pylist()], coded.indices.to_pylist()
+                once = to_ids(texts)
+                exact = [pieces.decode(np.frombuffer(f, "<i4")) == t for f, t in zip(once, texts, strict=True)]
+                found, same = [once[i] for i in which], [exact[i] for i in which]
                 yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(found), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
 
     kind = dict(documents.dtypes)["doc_id"]

@@ -392,6 +392,41 @@ def test_rates_meet_targets(spark, labels):
     assert many.columns == docs.columns and many.select("doc_id").distinct().count() == 400 and many.count() > 400
 
 
+def test_mixture_has_its_shares(spark):
+    """The poor domain holds most of the tokens and some toxic documents are left: shares and rates are those of a brute-force solution."""
+    rng, kinds = random.Random(10), ("good", "poor", "poor", "poor", "poor", "toxic")
+    make = {"good": lambda: text_of(rng, rng.randrange(30, 60)), "poor": lambda: "### $$$ 12 34 | " * rng.randrange(8, 15) + text_of(rng, 5), "toxic": lambda: "A B C D E. F, " * rng.randrange(2, 5)}
+    rows = [(i, make[kinds[i % 6]]()) for i in range(1200)]
+    marks = [(i, int(i % 6 == 0), int(i % 6 == 5)) for i in range(0, 1200, 7)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    out = soft_mixing.mixing_rates(docs, known, {"good": 0.9, "poor": 0.1}, floor=1.0).toPandas()
+    t, good, poor, rate = (out[c].to_numpy() for c in ("tokens", "p_good", "p_poor", "rate"))
+    assert (t * poor).sum() > (t * good).sum() and (t * out["p_toxic"]).sum() > 100
+    assert (rate * t * good).sum() == pytest.approx(0.9 * (rate * t * (good + poor)).sum(), rel=1e-5)
+    gain = 0.1 * good - 0.9 * poor  # rates nearest to 1: max(1, 1 + c * gain), c by bisection
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if (np.maximum(1, 1 + c * gain) * t * gain).sum() < 0 else (low, c)
+    assert rate == pytest.approx(np.maximum(1, 1 + c * gain), rel=1e-4) and rate.max() > 4
+    copies = {r.doc_id: r["count"] for r in soft_mixing.mixed(docs, known).groupBy("doc_id").count().collect()}
+    n = out["doc_id"].map(copies).to_numpy()
+    assert n.min() >= 1 and (n * t * good).sum() == pytest.approx(0.9 * (n * t * (good + poor)).sum(), rel=0.01)
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(i, text_of(random.Random(i), 20)) for i in range(20)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="missed its targets"):
+        soft_mixing.mixing_rates(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), {"good": 0.9, "poor": 0.1}, floor=1.0)
+
+
+def test_copies_are_encoded_once(spark, pieces):
+    rows = [(1, "one text")] * 5 + [(2, None), (3, ""), (4, "another")]
+    out = viterbi.encoded(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = pieces.encoder()
+    assert [(r.doc_id, r.ids, r.round_trip) for r in out] == [(i, np.frombuffer(want([t or ""])[0], "<i4").tolist(), True) for i, t in rows]
+
+
 def test_mixing_edges(docs, clashing, nothing, labels):
     for few in (labels, labels.limit(0)):
         rows = soft_mixing.mixing_rates(clashing, few).collect()
