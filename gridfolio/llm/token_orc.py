@@ -9,7 +9,8 @@ Encoding cuts a text before each run of white space that follows another charact
 vocabulary crosses such a cut, so the pieces are encoded apart, each distinct one once (``chunk_ids``).
 
 Defined cases: a null text is empty and has the end id only; a null doc_id comes first; equal doc_ids stay in one
-range, in any order among themselves, with their starts in that order. Other columns are ignored.
+range, in any order among themselves, with their starts in that order. Other columns are ignored. The name of a special
+token inside a text, such as <|endoftext|>, is that token's single id, as the library gives by default.
 """
 
 from __future__ import annotations
@@ -39,11 +40,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=1)
-def byte_bpe(path: str) -> ChunkEncoder:
+@lru_cache(maxsize=2)
+def byte_bpe(path: str, spell_special: bool = True) -> ChunkEncoder:
     """An encoder of a byte-level vocabulary of the tokenizers library; ids as the library gives them for whole texts.
 
-    A Python worker loads the vocabulary once and keeps the encoder, with what it remembers, for its later tasks.
+    With ``spell_special`` names of special tokens are ordinary text; without, a text is cut at the vocabulary's added
+    tokens as the library cuts it, and what lies between is cut into pieces. A Python worker loads the vocabulary once and keeps the encoder, with what it remembers, for its later tasks.
     """
     import os
 
@@ -53,6 +55,7 @@ def byte_bpe(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    added = {} if spell_special else {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     vocabulary = tokenizer.get_vocab()
     width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a character of its name stands for one
     for token, i in vocabulary.items():
@@ -69,12 +72,29 @@ def byte_bpe(path: str) -> ChunkEncoder:
             out += [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
         return out
 
-    return ChunkEncoder(pieces, encode, REMEMBERED, 4 << 20)
+    if not added:
+        return ChunkEncoder(pieces, encode, REMEMBERED, 4 << 20)
 
+    plain = all(not (t.lstrip or t.rstrip or t.single_word) for t in tokenizer.get_added_tokens_decoder().values())
+    assert plain, "added tokens that take in their surroundings are not cut out"
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    def split(text: str) -> list[str]:
+        if not any(n in text for n in added):
+            return pieces(text)
+        return [x for part in cuts.split(text) for x in ([part] if part in added else pieces(part))]
+
+    def encode_some(names: list[str]) -> list[bytes]:
+        ids = encode([n for n in names if n not in added])
+        of = iter(ids)
+        return [np.array([added[n]], "<u4").tobytes() if n in added else next(of) for n in names]
+
+    return ChunkEncoder(split, encode_some, REMEMBERED, 4 << 20)
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, spell_special: bool = True) -> Iterator[pa.RecordBatch]:
     """(the other columns, ids) for batches whose last column is the text; ``end_id`` closes every document."""
-    encoder, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
+    encoder, end = byte_bpe(path, spell_special), np.array([end_id], "<u4").tobytes()
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
@@ -86,7 +106,7 @@ def write_orc(documents: DataFrame, folder: str, tokenizer: str | None = None, e
     """Files of (doc_id, ids) in ascending order of doc_id: their names sort in that order."""
     kind = dict(documents.dtypes)["doc_id"]
     ordered = in_order(documents.select("doc_id", "text"), ["doc_id"], "part").select("doc_id", "text")
-    ids = ordered.mapInArrow(partial(encode_batches, path=tokenizer or default_tokenizer(), end_id=end_id), f"doc_id {kind}, ids array<int>")
+    ids = ordered.mapInArrow(partial(encode_batches, path=tokenizer or default_tokenizer(), end_id=end_id, spell_special=False), f"doc_id {kind}, ids array<int>")
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": ROW_INDEX, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.compress": "ZSTD"}
     ids.write.options(**{k: str(v) for k, v in options.items()}).orc(folder)
 

@@ -168,6 +168,20 @@ def test_orc_and_flat_files(spark, docs, clashing, nothing, whole_ids):
     assert token_orc.tokens_through_orc(nothing).count() == separator_scan.counted_documents(nothing).count() == 0
 
 
+def test_special_names_have_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_orc.default_tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", " <|endoftext|", "one two  ", "", None]
+    ids = [[*plain.encode(t or "", add_special_tokens=False).ids, token_orc.END_ID] for t in texts]
+    assert ids[0] == [separator_scan.SEPARATOR, token_orc.END_ID]
+    starts = np.cumsum([0, *map(len, ids)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, int(starts[i]), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+    assert set(map(tuple, token_orc.tokens_through_orc(docs).collect())) == want
+    assert {r.doc_id for r in separator_scan.counted_documents(docs).collect()} == set(range(len(texts)))
+
+
 def test_orc_metadata(spark, docs):
     folder = new_path(spark, "orc")
     token_orc.write_orc(docs, folder)
