@@ -505,6 +505,25 @@ def test_all_within_radius(spark):
     assert got == Counter((i, j, (x ^ y).bit_count()) for i, x in enumerate(rows) if i % 3 == 0 for j, y in enumerate(rows) if (x ^ y).bit_count() <= 3)
 
 
+def test_search_finds_edited_texts(spark):
+    """Texts of the smallest tables and copies with words replaced: counts are those of brute force at the stated radius."""
+    rng, rows = random.Random(12), []
+    texts = [t for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").collect() if t and 100 <= len(t.split()) <= 2000]
+    for i, t in enumerate(texts[:100]):
+        rows.append((50 * i, t))
+        for k, part in enumerate((0.005, 0.01, 0.02), 1):
+            w = t.split()
+            for at in rng.sample(range(len(w)), max(1, round(part * len(w)))):
+                w[at] = f"new{rng.randrange(10**6)}"
+            rows.append((50 * i + k, " ".join(w)))
+    out = simhash.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in out}
+    assert {r.doc_id: r.n_within_radius for r in out if r.doc_id % 50 == 0} == {i: sum((x ^ prints[i]).bit_count() <= simhash.RADIUS for x in prints.values()) - 1 for i in prints if i % 50 == 0}
+    found = [np.mean([(prints[i] ^ prints[i + k]).bit_count() <= simhash.RADIUS for i in prints if i % 50 == 0]) for k in (1, 2, 3)]
+    print("found of 0.5, 1 and 2 % replaced:", found)
+    assert found[0] > 0.8 and found[1] > 0.4
+
+
 # 10. vectors -----------------------------------------------------------------------------
 
 
