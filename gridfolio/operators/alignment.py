@@ -101,6 +101,39 @@ def fresh_bars(valid: DataFrame, target: str, max_age_days: int, rows_needed: in
     return last.where((age <= max_age_days) & (C("n_rows") >= rows_needed)).withColumn("age", age)
 
 
+def as_of_many(
+    facts: DataFrame, targets: DataFrame, carry: Sequence[str] = (), *, max_age_days: int | None = None, rows_needed: int = 1
+) -> DataFrame:
+    """Per ticker and target date the last fact on or before it: (target, ticker, date, age, n_rows, carried columns).
+
+    ``facts`` has a row per (ticker, date), ``targets`` a column ``target``; any number of dates is one job. A fact
+    answers for the targets from its date to the day before the next fact of its ticker, or to the age limit if that
+    is sooner, so rows arise only for answers: neither an inequality join nor a row per ticker and target is
+    made. Facts preceded by too few rows, themselves included, answer nothing.
+    """
+    numbered = targets.select(C("target").cast("date").alias("target")).where("target is not null").distinct()
+    numbered = numbered.withColumn("no", F.row_number().over(Window.orderBy("target")))  # dates only
+    line = Window.partitionBy("ticker").orderBy("date")
+    placed = facts.select("ticker", "date", *carry, F.row_number().over(line).alias("n_rows"), F.lead("date").over(line).alias("next"))
+    until = F.date_sub(C("next"), 1)
+    if max_age_days is not None:
+        limit = F.date_add(C("date"), max_age_days)
+        until = F.coalesce(F.least(until, limit), limit)
+    placed = placed.where(C("n_rows") >= rows_needed).withColumn("until", until)
+    # how many targets lie before a date, for all dates of the calendar from the first target to the last
+    span = numbered.agg(F.min("target").alias("a"), F.max("target").alias("b")).where("a is not null")
+    every = span.select(F.explode(F.sequence("a", "b")).alias("day"), "b").join(per_day(numbered, "target"), C("day") == C("target"), "left")
+    upto = every.select("day", F.max("no").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), C("no").isNotNull().alias("hit"))
+    first, last = span.select("a").scalar(), span.select("b").scalar()
+    begin, end = F.greatest(C("date"), first), F.least(F.coalesce("until", last), last)
+    inside = placed.withColumns({"begin": begin, "end": end}).where("begin <= end")
+    lows = upto.select(C("day").alias("begin"), (C("upto") + 1 - C("hit").cast("int")).alias("lo"))
+    highs = upto.select(C("day").alias("end"), C("upto").alias("hi"))
+    found = inside.join(per_day(lows, "begin"), "begin").join(per_day(highs, "end"), "end").where("lo <= hi")
+    answers = found.withColumn("no", F.explode(F.sequence("lo", "hi"))).join(per_day(numbered, "no"), "no")
+    return answers.select("target", "ticker", "date", F.date_diff("target", "date").alias("age"), "n_rows", *carry)
+
+
 def join_on_cells(parts: Sequence[DataFrame]) -> DataFrame:
     """Inner join of sample tables on (date, ticker)."""
     return reduce(lambda left, right: left.join(right, ["date", "ticker"]), parts)

@@ -22,8 +22,13 @@ PERIOD_UNITS = {
     "W": "week",
     "M": "month",
     "ME": "month",
+    "MS": "month",
+    "BM": "month",
+    "BME": "month",
+    "BMS": "month",
     "Q": "quarter",
     "QE": "quarter",
+    "QS": "quarter",
     "Y": "year",
 }
 
@@ -80,8 +85,27 @@ def dense_grid(
 
 
 def period_start(col: Column | str, freq: str) -> Column:
-    unit = PERIOD_UNITS[freq.upper()]
+    """The first day of the period of a date.
+
+    Business periods differ on weekends only: a weekend joins the Friday before it (B), the month that follows if
+    it comes after the last business day (BM), or the month before if it comes before the first one (BMS).
+    """
+    freq = freq.upper()
+    unit = PERIOD_UNITS[freq]
     date = F.col(col) if isinstance(col, str) else col
+
+    def past_friday(day: Column) -> Column:
+        return F.greatest(F.weekday(day) - 4, F.lit(0))
+
+    if freq == "B":
+        return F.date_sub(date, past_friday(date))
+    if freq in ("BM", "BME"):
+        end = F.last_day(date)
+        date = F.when(date > F.date_sub(end, past_friday(end)), F.date_add(end, 1)).otherwise(date)
+    elif freq == "BMS":
+        begin = F.trunc(date, "month")
+        wait = F.when(F.weekday(begin) >= 5, 7 - F.weekday(begin)).otherwise(0)
+        date = F.when(date < F.date_add(begin, wait), F.date_sub(begin, 1)).otherwise(date)
     return date if unit == "day" else F.trunc(date, unit)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -148,6 +149,38 @@ def pixels(bars: DataFrame, intervals: int, names: Sequence[str], height: int) -
     return inside.select(*key, "px", (height - 1 - C("py")).alias("py")).distinct()
 
 
+def packed_charts(points: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
+    """(keys, raster): one binary image per window, a bit per pixel.
+
+    Rows run from the top, each padded to whole bytes, the leftmost pixel in the highest bit. The bits of 32 neighbouring
+    pixels meet in one ``bit_or``, so a window is brought together as a few dozen numbers and never as its points.
+    """
+    row_bytes = (width + 7) // 8
+    words = (row_bytes * height + 3) // 4
+    inside = points.where(C("px").between(0, width - 1) & C("py").between(0, height - 1))
+    bit = C("py").cast("long") * (8 * row_bytes) + C("px")
+    one = F.expr(f"shiftleft(1L, cast(31 - pmod(cast(py as bigint) * {8 * row_bytes} + px, 32) as int))")
+    some = inside.groupBy(*keys, F.floor(bit / 32).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    lists = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("some"))
+    # words without a pixel are the zeros between two that have one
+    def with_gap(w: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("some", i - 1)["word"])
+        return F.concat(F.repeat(F.lit("00000000"), w["word"] - before - 1), F.lpad(F.hex(w["bits"]), 8, "0"))
+
+    text = F.rpad(F.array_join(F.transform("some", with_gap), ""), 8 * words, "0")
+    return lists.select(*keys, F.unhex(F.substring(text, 1, 2 * row_bytes * height)).alias("raster"))
+
+
+def unpacked_charts(rasters: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
+    """The sparse (px, py) points of ``packed_charts``."""
+    row_bytes = (width + 7) // 8
+    at = rasters.select(*keys, "raster", F.explode(F.sequence(F.lit(0), F.lit(row_bytes * height - 1))).alias("byte"))
+    value = F.conv(F.hex(F.expr("substring(raster, byte + 1, 1)")), 16, 10).cast("int")
+    bits = at.withColumn("value", value).where("value <> 0").select(*keys, "byte", "value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
+    lit = bits.where(F.expr("value & shiftright(128, b)") != 0)
+    return lit.select(*keys, (C("byte") % row_bytes * 8 + C("b")).alias("px"), F.floor(C("byte") / row_bytes).cast("int").alias("py"))
+
+
 # ------------------------------------------------------------------ training windows
 
 
@@ -156,7 +189,7 @@ def forward_return(horizon: int) -> Column:
 
 
 def forward_drawdown(horizon: int) -> Column:
-    """Largest fall from a running peak over the next ``horizon`` rows."""
+    """Largest fall from a running peak over the next ``horizon`` rows, step by step over an array; for short horizons."""
     ahead = F.collect_list("close").over(by_ticker().rowsBetween(0, horizon))
     rel = F.transform(ahead, lambda p: div(p, F.get(ahead, F.lit(0))))
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("fall"))
@@ -168,6 +201,51 @@ def forward_drawdown(horizon: int) -> Column:
     return F.aggregate(rel, start, step, lambda acc: acc["fall"])
 
 
+def with_forward_drawdown(df: DataFrame, horizon: int, out: str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Add the largest fall from a running peak over the next ``horizon`` rows.
+
+    A run of rows is summed up by its peak, its trough and its deepest fall (from which price to which), and two
+    neighbouring runs by those of both and the fall from the first one's peak to the second one's trough. Runs of
+    1, 2, 4, ... rows are put together, so a row reads about 2 log2(horizon) others and holds no array. Missing prices
+    are passed over; a row without a positive price of its own has no fall. The deepest fall is chosen by the ratio of
+    its prices and then measured with the constant that keeps the denominator from zero, which differs by less than that.
+    """
+    if horizon < 0:
+        raise ValueError("the horizon must not be negative")
+    line, width = Window.partitionBy(*keys).orderBy("pos"), horizon + 1
+
+    def fall(top: Column, low: Column) -> Column:
+        return F.when((top > 0) & low.isNotNull(), F.struct((1.0 - low / top).alias("depth"), top.alias("top"), low.alias("low")))
+
+    def state(peak: Column, trough: Column, deepest: Column) -> Column:
+        return F.struct(peak.alias("peak"), trough.alias("trough"), deepest.alias("fall"))
+
+    def joined(a: Column, b: Column) -> Column:
+        across = fall(a["peak"], b["trough"])
+        deepest = F.greatest(a["fall"], b["fall"], across)
+        return state(F.greatest(a["peak"], b["peak"]), F.least(a["trough"], b["trough"]), deepest)
+
+    def ahead(name: str, n: int) -> Column:
+        """The run that begins ``n`` rows on; beyond the last row an empty one."""
+        return F.coalesce(F.lead(name, n).over(line), F.lit(None).cast(_RUN))
+
+    price = C("close").cast("double")
+    step = df.withColumn("_run", state(price, price, fall(price, price)))
+    covered = 0
+    for k in range(width.bit_length()):
+        if width >> k & 1:
+            step = step.withColumn("_all", C("_run") if not covered else joined(C("_all"), ahead("_run", covered)))
+            covered += 1 << k
+        if width >> (k + 1):
+            step = step.withColumn("_run", joined(C("_run"), ahead("_run", 1 << k)))
+    deepest = C("_all.fall")
+    measured = (deepest["top"] - deepest["low"]) / (deepest["top"] + 1e-8 * C("close"))
+    return step.withColumn(out, F.when(C("close") > 0, measured)).drop("_run", "_all")
+
+
+_RUN = "struct<peak:double,trough:double,fall:struct<depth:double,top:double,low:double>>"
+
+
 def training_windows(
     cells: DataFrame,
     names: Sequence[str],
@@ -189,7 +267,8 @@ def training_windows(
     total = n_dates if isinstance(n_dates, Column) else F.lit(n_dates)
     ahead = by_ticker().rowsBetween(0, horizon)
     x = F.collect_list(F.array(*[C(n).cast("float") for n in names])).over(trailing(lookback))
-    steps = cells.select(
+    falls = with_forward_drawdown(cells, horizon, "target_dd")
+    steps = falls.select(
         "ticker",
         "pos",
         "date",
@@ -197,7 +276,7 @@ def training_windows(
         F.sum(C("valid").cast("int")).over(trailing(lookback)).alias("n_valid"),
         F.count("close").over(ahead).alias("n_ahead"),
         forward_return(horizon).alias("target_ret"),
-        forward_drawdown(horizon).alias("target_dd"),
+        "target_dd",
     )
     kept = steps.where(
         (C("pos") >= lookback)
@@ -229,5 +308,37 @@ def score_windows(
     return windows.select(*cols, "x").mapInPandas(run, f"{kinds}, {schema}")
 
 
+#: models of this Python worker, by the name that the driver gave to their factory
+_MODELS: dict[str, Mapping[str, Callable[[pd.Series], pd.DataFrame]]] = {}
+
+
+def models_of(name: str, factory: Callable[[], Mapping[str, Callable[[pd.Series], pd.DataFrame]]]):
+    """What the factory has loaded in this worker; a worker runs many tasks and calls the factory once."""
+    if name not in _MODELS:
+        _MODELS[name] = factory()
+    return _MODELS[name]
+
+
+def score_with_models(
+    windows: DataFrame, factory: Callable[[], Mapping[str, Callable[[pd.Series], pd.DataFrame]]], schema: str, keys: Sequence[str] = ("date", "ticker")
+) -> DataFrame:
+    """(keys, model, columns of ``schema``): every window scored by every model, the windows read once.
+
+    ``factory`` loads the models, a mapping from name to batch function, and runs once per Python worker. The result
+    is what the ensembles take. Workers must be able to import this package.
+    """
+    cols, name = list(keys), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from gridfolio.operators.samples import models_of
+
+        for pdf in batches:
+            for model, predict in models_of(name, factory).items():
+                yield pd.concat([pdf[cols].reset_index(drop=True).assign(model=model), predict(pdf["x"]).reset_index(drop=True)], axis=1)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema if f.name in cols)
+    return windows.select(*cols, "x").mapInPandas(run, f"{kinds}, model string, {schema}")
+
+
 def with_crash_label(samples: DataFrame, threshold: float) -> DataFrame:
     return samples.withColumn("crash", (C("target_dd") >= threshold).cast("int"))

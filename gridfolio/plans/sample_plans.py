@@ -11,12 +11,13 @@ from gridfolio.functions.expr import full_window, rounded
 from gridfolio.operators import alignment as al
 from gridfolio.operators import cleaning as cl
 from gridfolio.operators import samples as sm
+from gridfolio.operators.calendar import calendar_of, dense_grid
 from gridfolio.operators.panels import rolling_sums, zscore_on_years
 from gridfolio.plans.feature_plans import feature_set, fr
 from gridfolio.plans.registry import query
 from gridfolio.plans.views_sql import r, view
 from gridfolio.sources import panels, tables
-from gridfolio.sources.store import new_path
+from gridfolio.sources.store import new_path, stored
 
 C = F.col
 
@@ -53,15 +54,20 @@ view(
 )
 
 
-def sparse_scores(spark, sf):
+def sparse_scores(cells):
     """Momentum scores with missing weeks and dates that are not in the calendar."""
-    kept = tables.scores(spark, sf, ["b"]).where((C("pos") % 3 != 1) & (C("ticker") != "9"))
+    scored = tables.with_scores(cells, ["b"]).withColumnRenamed("score_b", "score").where(C("score").isNotNull())
+    kept = scored.where((C("pos") % 3 != 1) & (C("ticker") != "9"))
     moved = F.when(C("pos") % 5 == 0, F.date_add("date", 3)).otherwise(C("date"))
     return kept.select("ticker", moved.alias("date"), "score")
 
 
 def aligned(spark, sf):
-    return al.align_scores(sparse_scores(spark, sf), tables.bar_calendar(spark, sf), tables.bars(spark, sf).select("ticker"))
+    """The raw rows are read once, for the bars; what the checks of the inputs look at is stored."""
+    bars = stored(tables.bars(spark, sf).select("ticker", "date", "close"), "bars")
+    calendar = calendar_of(bars)
+    scores = stored(sparse_scores(dense_grid(bars, calendar, ["close"])), "sparse-scores")
+    return al.align_scores(scores, calendar, bars.select("ticker"))
 
 
 @query("jn2_score_calendar_alignment", f"select ticker, date, {r('score')} as score from aligned_scores")
@@ -91,9 +97,12 @@ def jn3(spark, sf):
         join wide_scores s on s.ticker = g.ticker and s.pos = g.pos""",
 )
 def jn4(spark, sf):
-    cells = tables.with_scores(tables.grid(spark, sf, values=["open", "close"]), ["b"]).withColumnRenamed("score_b", "score")
-    mask = al.membership_mask(tables.universe(spark, sf), tables.bar_calendar(spark, sf))
-    out = al.apply_mask(cells, mask, ["score", "open"])
+    bars = stored(tables.bars(spark, sf).select("ticker", "date", "open", "close", "amount"), "bars")
+    calendar = calendar_of(bars)
+    grid = dense_grid(bars, calendar, ["open", "close", "amount"])
+    members = stored(tables.universe(spark, sf, grid.select("ticker", "pos", "date", "amount"), calendar), "universe")
+    cells = tables.with_scores(grid.drop("amount"), ["b"]).withColumnRenamed("score_b", "score")
+    out = al.apply_mask(cells, al.membership_mask(members, calendar), ["score", "open"])
     return out.select("ticker", "date", "close", rounded(C("score")).alias("score"), "open")
 
 
@@ -371,9 +380,9 @@ def wn11(spark, sf):
 @query("snk4_window_cache", _win_sql(f"date, ticker, cast(ret > 0 as integer) as label, {r('dd')} as drawdown"))
 def snk4(spark, sf):
     params = {"lookback": LOOK, "horizon": HOR, "features": ["logreturn", "magap", "stoch", "volumez"], "min_valid": 0.7, "threshold": 0.0, "source": sf}
-    cache = panels.SampleCache(spark, "windows")
-    cache.save(_windows(spark, sf, threshold=0.0), params)
-    return cache.load(params).select("date", "ticker", C("target_cls").cast("int").alias("label"), rounded(C("target_dd")).alias("drawdown"))
+    cache, files = panels.SampleCache(spark, "windows"), [f"{sf}/lineitem.parquet"]
+    cache.get(params, lambda: _windows(spark, sf, threshold=0.0), files)
+    return cache.load(params, files).select("date", "ticker", C("target_cls").cast("int").alias("label"), rounded(C("target_dd")).alias("drawdown"))
 
 
 def mean_model(x: pd.Series) -> pd.DataFrame:
@@ -415,7 +424,8 @@ def flow_features(spark, sf, windows=(5, 20)):
 
 @query(
     "jn22_multi_window_merge",
-    f"select a.date, a.ticker, {r('a.z')} as flow_5, {r('b.z')} as flow_20 from flow_z a join flow_z b on b.date = a.date and b.ticker = a.ticker and b.w = 20 and b.z is not null where a.w = 5 and a.z is not null",
+    f"""select date, ticker, {r('max(case when w = 5 then z end)')} as flow_5, {r('max(case when w = 20 then z end)')} as flow_20 from flow_z
+        where z is not null group by date, ticker having count(case when w = 5 then 1 end) > 0 and count(case when w = 20 then 1 end) > 0""",
 )
 def jn22(spark, sf):
     out = al.cells_of_all(flow_features(spark, sf), "window_rows", {"flow_5": 5, "flow_20": 20}, "z")
@@ -446,9 +456,8 @@ def jn10(spark, sf):
 
 @query(
     "jn11_windows_n_intervals",
-    """select a.date, a.ticker, a.label as label_a, b.label as label_b, c.label as label_c from results_long a
-       join results_long b on b.model = 'b' and b.date = a.date and b.ticker = a.ticker
-       join results_long c on c.model = 'c' and c.date = a.date and c.ticker = a.ticker where a.model = 'a'""",
+    f"select date, ticker, {', '.join(f"max(case when model = '{m}' then label end) as label_{m}" for m in 'abc')} from results_long"
+    f" group by date, ticker having {' and '.join(f"count(case when model = '{m}' then 1 end) > 0" for m in 'abc')}",
 )
 def jn11(spark, sf):
     rows = tables.results(spark, sf, ["a", "b", "c"])

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import by_ticker, div, trailing
@@ -30,20 +31,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LONGEST = {"day": 1, "week": 7, "month": 31, "quarter": 92, "year": 366}
 
 
+def _within(value, digits: int) -> Column:
+    """A number as a long; one of more digits, or below zero, ends the job."""
+    number = (C(value) if isinstance(value, str) else value).cast("long")
+    wrong = F.raise_error(F.format_string(f"%d has no place in {digits} digits", number)).cast("long")
+    return F.when(number.between(0, 10**digits - 1), number).when(number.isNotNull(), wrong)
+
+
 def _line_rows(spark: SparkSession, sf_dir: str, freq: str, days: tuple[str, str] | None = None, tickers: Sequence[int] | None = None) -> DataFrame:
     """Line items with their period, price and a key that orders them inside a period.
 
     The key packs (day, order, line, price in cents, quantity) into one decimal of
     3, 14, 4, 11 and 6 digits; a larger number ends the job and is never cut. A decimal
     is a fixed-width buffer, so first and last price stay in the hash aggregate; a
-    struct would force a sort of all raw rows.
+    struct would force a sort of all raw rows. Both halves are packed as longs, and one
+    decimal product puts them together.
     """
     day = F.to_date("l_shipdate")
     start = period_start(day, freq)
-    line = C("l_orderkey").cast("decimal(14,0)") * F.lit(10**4).cast("decimal(5,0)") + C("l_linenumber").cast("decimal(4,0)")
-    place = F.date_diff(day, start).cast("decimal(3,0)") * F.lit(10**18).cast("decimal(19,0)") + line
-    size = F.round(C("l_extendedprice") * 100).cast("decimal(11,0)") * F.lit(10**6).cast("decimal(7,0)") + C("l_quantity").cast("decimal(6,0)")
-    key = place.cast("decimal(21,0)") * F.lit(10**17).cast("decimal(18,0)") + size
+    # order and line, then price and quantity: 18 and 17 digits
+    high = _within("l_orderkey", 14) * 10**4 + _within("l_linenumber", 4)
+    low = _within(F.round(C("l_extendedprice") * 100), 11) * 10**6 + _within("l_quantity", 6)
+    whole = high.cast("decimal(18,0)") * F.lit(10**17).cast("decimal(18,0)") + low.cast("decimal(17,0)")
+    days_in = F.date_diff(day, start)
+    # the day goes to the front: its product with 10^35 is looked up, a period has few days
+    steps = F.array(*[F.lit(Decimal(d) * 10**35).cast("decimal(38,0)") for d in range(LONGEST[PERIOD_UNITS[freq.upper()]] + 3)])  # and a weekend
+    key = F.get(steps, days_in) + whole.cast("decimal(38,0)")
     raw = table(spark, sf_dir, "lineitem")
     if days:
         kind = raw.schema["l_shipdate"].dataType
@@ -121,9 +134,9 @@ def day_grid(spark: SparkSession, sf_dir: str, values: list[str] | None = None)
     return dense_grid(day_bars(spark, sf_dir), day_calendar(spark, sf_dir), values or OHLCV)
 
 
-def quarter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarter_dates(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None) -> DataFrame:
     """First week of every quarter with its 1-based number."""
-    first = bar_calendar(spark, sf_dir).groupBy(F.trunc("date", "quarter").alias("quarter")).agg(F.min("date").alias("date"))
+    first = (bar_calendar(spark, sf_dir) if calendar is None else calendar).groupBy(F.trunc("date", "quarter").alias("quarter")).agg(F.min("date").alias("date"))
     return first.select("date", F.row_number().over(Window.orderBy("date")).alias("q"))
 
 
@@ -144,16 +157,17 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traded amount of the last 52 weeks on the dense grid."""
-    return grid(spark, sf_dir, values=["amount"]).select(
+def market_caps(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    """Traded amount of the last 52 weeks on the dense grid (``cells``, where it is at hand)."""
+    cells = grid(spark, sf_dir, values=["amount"]) if cells is None else cells
+    return cells.select(
         "ticker", "pos", "date", F.sum("amount").over(trailing(52)).alias("cap")
     )
 
 
-def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def universe(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
     """Quarterly membership: the top 80 percent by market cap."""
-    caps = market_caps(spark, sf_dir).join(per_day(quarter_dates(spark, sf_dir).select("date"), "date"), "date")
+    caps = market_caps(spark, sf_dir, cells).join(per_day(quarter_dates(spark, sf_dir, calendar).select("date"), "date"), "date")
     ranked = ordered_rank(caps.where(F.col("cap").isNotNull()).select("date", "ticker", "cap"), ["date"], "cap")
     return ranked.select("date", "ticker", F.when(F.col("rank") * 5 > F.col("n"), 1.0).otherwise(0.0).alias("member"))
 
