@@ -5,8 +5,9 @@ streams its documents into one file. ORC stores the ids with integer run-length
 per ``ROW_INDEX`` documents and a Bloom filter on doc_id: readers take stripes in parallel, and a filter on doc_id
 skips files, stripes and row groups by their metadata.
 
-Encoding cuts a text before each run of white space that follows another character. No token of the byte-level
-vocabulary crosses such a cut, so the pieces are encoded apart, each distinct one once (``chunk_ids``).
+Encoding cuts a text before each run of white space that follows another character, and between letters and marks. No
+token of the byte-level vocabulary crosses such a cut, so the pieces are encoded apart, each distinct one once
+(``piece_table``).
 
 Defined cases: a null text is empty and has the end id only; a null doc_id comes first; equal doc_ids stay in one
 range, in any order among themselves, with their starts in that order. Other columns are ignored. The name of a special
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from gridfolio.llm.chunk_ids import ChunkEncoder, id_lists
 from gridfolio.llm.common import in_order, new_path, running_totals, stored
+from gridfolio.llm.piece_table import BLOCK, PieceTable, padded, texts_of
 
 END_ID = 2
 REMEMBERED = 1_000_000  # distinct pieces a worker remembers; some 200 MB, which changes no result
+TABLE_PIECES = 800_000  # the same of the table of pieces; some 100 MB
 STRIPE_BYTES, ROW_INDEX, BLOOM_FPP = 64 << 20, 1000, 0.01
 pieces = re.compile(r"\s*\S+|\s+\Z").findall
 
@@ -102,18 +105,93 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, sp
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], id_lists(found)], [*batch.schema.names[:-1], "ids"])
 
 
+@lru_cache(maxsize=2)
+def piece_table(path: str, end_id: int) -> tuple[PieceTable, tuple[bytes, ...]]:
+    """The worker's table of pieces, and the names of the vocabulary's added tokens; kept for the worker's later tasks."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    added = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
+    tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a character of its name stands for one
+    for token, i in vocabulary.items():
+        width[i] = len(token)
+
+    def encode(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends, total = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+        for at in range(0, len(names), 20_000):  # many pieces in one call; the bytes of the tokens tell them apart
+            some = names[at : at + 20_000]
+            got = np.array(tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            ends.append(np.searchsorted(np.cumsum(width[got]), np.cumsum([len(n.encode()) for n in some])) + 1 + total)
+            ids.append(got)
+            total += len(got)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    return PieceTable(encode, end_id, TABLE_PIECES), added
+
+
+def encode_columns(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """(the other columns, ids) for batches whose last column is the text, ``end_id`` after each document.
+
+    Texts go through the worker's table of pieces as bytes. A text with the name of an added token in it is cut there
+    and its parts take the same way.
+    """
+    table, added = piece_table(path, end_id)
+    for whole in batches:
+        buf, offsets = texts_of(whole.column(whole.num_columns - 1))
+        at = 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            bounds = offsets[at : to + 1] - offsets[at]
+            data = padded(buf, offsets[at], offsets[to])
+            ids, n = table.encoded(data, bounds)
+            if any(name in memoryview(data).tobytes() for name in added):
+                ids, n = _with_added(data, bounds, ids, n, path, end_id)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in whole.columns[:-1]), pa.ListArray.from_arrays(ends, pa.array(ids))], [*whole.schema.names[:-1], "ids"])
+            at = to
+
+
+def _with_added(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, n: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids, but of texts that name added tokens as the encoder that cuts at these gives them."""
+    encoder, added = byte_bpe(path, False), piece_table(path, end_id)[1]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    parts, n = [], n.copy()
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        text = data[a:b].tobytes()
+        if any(name in text for name in added):
+            parts.append(np.append(np.frombuffer(encoder([text.decode("utf-8")])[0], "<i4"), np.int32(end_id)))
+            n[i] = len(parts[-1])
+        else:
+            parts.append(ids[starts[i] : starts[i + 1]])
+    return np.concatenate(parts), n
+
+
 def write_orc(documents: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Files of (doc_id, ids) in ascending order of doc_id: their names sort in that order."""
     kind = dict(documents.dtypes)["doc_id"]
     ordered = in_order(documents.select("doc_id", "text"), ["doc_id"], "part").select("doc_id", "text")
-    ids = ordered.mapInArrow(partial(encode_batches, path=tokenizer or default_tokenizer(), end_id=end_id, spell_special=False), f"doc_id {kind}, ids array<int>")
+    ids = ordered.mapInArrow(partial(encode_columns, path=tokenizer or default_tokenizer(), end_id=end_id), f"doc_id {kind}, ids array<int>")
     options = {"orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": ROW_INDEX, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.compress": "ZSTD"}
     ids.write.options(**{k: str(v) for k, v in options.items()}).orc(folder)
 
 
-def read_orc(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, ids, file, at): the documents with the file they lie in and an order inside it."""
-    return spark.read.orc(folder).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+def read_orc(spark: SparkSession, folder: str, ids: list | None = None, between: tuple | None = None) -> DataFrame:
+    """(doc_id, ids, file, at): the documents with the file they lie in and an order inside it.
+
+    Documents of some ids, or of a range of ids with both ends, are asked for here: the condition is put below the order
+    column, so it reaches the files, and files, stripes and row groups are skipped by their indexes and Bloom filters.
+    """
+    rows = spark.read.orc(folder)
+    if ids is not None:
+        rows = rows.where(F.col("doc_id").isin(list(ids)))
+    if between is not None:
+        rows = rows.where(F.col("doc_id").between(*between))
+    return rows.select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
