@@ -180,12 +180,12 @@ def across(places: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edges in whole_groups(batches, keys):
             ids, found = batch.column("id").to_numpy(), []
-            known: dict[int, np.ndarray] = {}
+            known: dict[str, np.ndarray] = {}  # by text: an id may have several
             for s, e in zip(edges, edges[1:], strict=False):
-                rows = [int(i) for i in range(s, e)]
-                words = [normal_words(batch.column("text")[i].as_py()) for i in rows if ids[i] not in known]
-                known |= dict(zip([ids[i] for i in rows if ids[i] not in known], _regions(words) if words else [], strict=True))
-                regions = [known[ids[i]] for i in rows]
+                texts_here = [batch.column("text")[i].as_py() for i in range(s, e)]
+                new = list(dict.fromkeys(t for t in texts_here if t not in known))
+                known |= dict(zip(new, _regions([normal_words(t) for t in new]) if new else [], strict=True))
+                rows, regions = range(s, e), [known[t] for t in texts_here]
                 size = np.array([len(r) for r in regions], np.float32)
                 both = overlaps(regions)
                 i, j = np.nonzero(np.triu(both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - 1e-3, 1))
