@@ -17,6 +17,8 @@ from gridfolio.llm.toxic_crf import fit, held_out
 from gridfolio.llm.toxic_crf import toxicity as toxic_score
 from gridfolio.llm.viterbi import encoded
 
+#: Names the rows of a stage's input; no column of documents.
+ROW = "_near_copies_row"
 #: Documents whose score reaches this are rejected, as in the operator's own query.
 TOXIC = 0.7
 
@@ -29,19 +31,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the smallest doc_id; rows of a null doc_id stay.
+    """One row of each class of near copies, that of the smallest doc_id; rows of a null doc_id stay.
 
-    Of rows that repeat a doc_id one stays: they are one document.
+    Rows are compared one by one, whatever their ids: of rows that repeat a doc_id only those go whose texts are near
+    copies of a text that stays, and rows of one doc_id with unrelated texts all stay.
     """
     let_tasks_import(spark)
-    classes = stored(near_duplicates(docs), "classes")
-    dropped = classes.where("id <> class_id").select("id")
-    repeated = stored(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"), "repeated")
-    gone = dropped.union(repeated).distinct()
-    # the dropped ids grow with the corpus, so the join is stated: the same plan at every size
-    single = docs.join(gone.hint("merge"), docs["doc_id"] == gone["id"], "left_anti")
-    again = repeated.join(dropped, "id", "left_anti")
-    return single.unionByName(docs.join(again, docs["doc_id"] == again["id"], "left_semi").dropDuplicates(["doc_id"]))
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")  # the number is read back, never made again
+    named = numbered.where("doc_id is not null").select(ROW, "doc_id", "text")
+    classes = stored(near_duplicates(named, ROW), "classes")
+    members = classes.join(named.select(F.col(ROW).alias("id"), "doc_id").hint("merge"), "id")
+    first = members.groupBy("class_id").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.id")
+    gone = stored(members.join(first.hint("merge"), "id", "left_anti").select(F.col("id").alias("gone")), "gone")
+    # the dropped rows grow with the corpus, so the join is stated: the same plan at every size
+    return numbered.join(gone.hint("merge"), numbered[ROW] == gone["gone"], "left_anti").select(*[numbered[f"`{c}`"] for c in docs.columns])
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
