@@ -18,6 +18,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -188,17 +189,21 @@ def email(value: str, key: bytes, back: bool) -> str | None:
     return permute_text(value, lambda i, c: None if i >= top else _own_class(i, c), key, "email", back)
 
 
+PART = 256  # characters of a long credential that are permuted together, each part in its own way
+
+
 def credential(value: str, key: bytes, back: bool) -> str | None:
     head = re.match(r"AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?", value).end()
     hexes = "0123456789abcdef" if re.fullmatch(r"[0-9a-f]+", value[head:]) else None
-    return value[:head] + permute_text(value[head:], lambda i, c: hexes or _own_class(i, c), key, "credential", back)
+    parts = [value[a : a + PART] for a in range(head, len(value), PART)]
+    return value[:head] + "".join(permute_text(p, lambda i, c: hexes or _own_class(i, c), key, f"credential{n or ''}", back) for n, p in enumerate(parts))
 
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), email),
     ("credential", re.compile(_LEFT + r"AKIA[0-9A-Z]{16}" + _RIGHT), credential),
-    ("credential", re.compile(_LEFT + r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z]{0,40}[0-9])[0-9A-Za-z]{12,64}" + _RIGHT), credential),
+    ("credential", re.compile(_LEFT + r"(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z]*+[0-9])[0-9A-Za-z]{12,}+" + _RIGHT), credential),
     ("iban", re.compile(_LEFT + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT), iban),
     ("card", re.compile(_LEFT + r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})" + _RIGHT), card),
     ("ssn", re.compile(_LEFT + r"\d{3}-\d{2}-\d{4}" + _RIGHT), ssn),
@@ -214,14 +219,15 @@ def replace_values(text: str | None, key: bytes = DEFAULT_KEY, back: bool = Fals
     """The text with pseudonyms, and (kind, start, length) of each in order."""
     if not text or not (_DIGIT.search(text) or "@" in text):
         return text, []
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # sorted, and none overlaps another
     for kind, pattern, change in KINDS:
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b, *_ in taken) and (new := change(m[0], key, back)) is not None:
-                taken.append((m.start(), m.end(), kind, new))
-    taken.sort()
+            at = bisect_left(taken, (m.start(),))
+            free = (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or m.end() <= taken[at][0])
+            if free and (new := change(m[0], key, back)) is not None:
+                taken.insert(at, (m.start(), m.end(), kind, new))
     out, last = [], 0
     for a, b, _, new in taken:
         out += [text[last:a], new]
