@@ -1,12 +1,15 @@
 """Document boundaries in flat files of token ids that have no index.
 
-A file is nothing but little-endian ids of 16 bits (32 where the vocabulary needs them), a separator after each
+A file is nothing but little-endian ids of 16 bits (32 where the vocabulary has more ids), a separator after each
 document. Documents are written where they lie, so nothing is shuffled; a narrow table keeps which document was the
 how-manieth of which file, and no lengths. A file is read in blocks by byte ranges: a task finds the separators of a
 block in one vectorised comparison and sends the ends it found. Boundaries are stitched by a prefix scan over blocks:
 where the last separator before a block lies, and how many there were. The scan runs inside files and over one row
 per file, so neither a file nor the whole table passes through one task.
 
+Numbers and starts of documents in the order of doc_id, which do not depend on where a document was written, come from
+the counts alone: a narrow table is range-partitioned by doc_id, and one row per range is summed.
+
 Defined cases: ids after the last separator of a file are a document of their own, with ``ended`` false; two
 separators in a row bound an empty document; files of no bytes hold no document. Documents never cross files.
 """
@@ -14,6 +17,7 @@ separators in a row bound an empty document; files of no bytes hold no document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,12 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.llm.common import file_system, new_file, new_path, running_totals, stored
-from gridfolio.llm.token_orc import default_tokenizer, encode_batches
+from gridfolio.llm.common import file_system, in_order, new_file, new_path, running_totals, stored
+from gridfolio.llm.token_orc import default_tokenizer, encode_columns
 
 SEPARATOR = 50256
 BLOCK_IDS = 1 << 20
-WIDTH = 2  # bytes of an id: the vocabulary has fewer than 65,536
+WIDTH = 2  # bytes of an id of a vocabulary with at most 65,536
+
+
+@lru_cache
+def width_of(tokenizer: str, separator: int = SEPARATOR) -> int:
+    """Bytes of an id: two where all ids of the vocabulary, and the separator, fit."""
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if max(largest, separator) < 1 << 16 else 4
 
 
 def write_flat(documents: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
@@ -44,8 +57,11 @@ def write_flat(documents: DataFrame, folder: str, tokenizer: str | None = None,
             return
         place = 0
         with new_file(folder, f"ids-{first.column('file')[0].as_py():06d}") as (path, stream):
-            for batch in encode_batches(chain([first], batches), tokenizer or default_tokenizer(), separator):
-                stream.write(batch.column("ids").values.to_numpy().astype(f"<u{width}").tobytes())
+            for batch in encode_columns(chain([first], batches), tokenizer or default_tokenizer(), separator, spell_special=True):
+                ids = batch.column("ids").values.to_numpy()
+                if len(ids) and ids.max() >> (8 * width):
+                    raise ValueError(f"id {ids.max()} has no place in {width} bytes")
+                stream.write(ids.astype(f"<u{width}").tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([path] * n), pa.array(np.arange(place, place + n)), batch.column("doc_id")], ["file", "path", "place", "doc_id"])
                 place += n
@@ -100,8 +116,17 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block_ids: int = BLOCK_ID
 def counted_documents(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, number, start, n_tokens) of every document, from the flat files and not from the encoder's own counts.
 
-    A null text is empty; rows of null or equal doc_ids are documents like any other.
+    ``number`` and ``start`` count the documents and their ids before it in ascending order of doc_id. A null text is
+    empty; a null doc_id comes first; documents of equal doc_ids follow each other by their lengths.
     """
-    places = write_flat(documents, new_path(documents.sparkSession, "flat-ids"), tokenizer)
-    found = scan(sized(places))
-    return found.join(places.select("file", "place", "doc_id"), ["file", "place"]).select("doc_id", "number", "start", "n_tokens")
+    width = width_of(tokenizer or default_tokenizer())
+    places = write_flat(documents, new_path(documents.sparkSession, "flat-ids"), tokenizer, width=width)
+    found = scan(sized(places, width), width=width)
+    counted = stored(found.join(places.select("file", "place", "doc_id"), ["file", "place"]).select("doc_id", "n_tokens", "file", "place"), "counted")
+    keys = ["doc_id", "n_tokens", "file", "place"]
+    ordered = stored(in_order(counted, keys, "part").withColumn("one", F.lit(1)), "in-order")
+    before = running_totals(ordered, "part", {"documents": "one", "ids": "n_tokens"})
+    inside = Window.partitionBy("part").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = ordered.withColumns({"at": F.row_number().over(inside) - 1, "inside": F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))})
+    return rows.join(before, "part").select("doc_id", (F.col("documents") + F.col("at")).alias("number"), (F.col("ids") + F.col("inside")).alias("start"), "n_tokens")

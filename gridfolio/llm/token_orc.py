@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridfolio.llm.chunk_ids import ChunkEncoder, id_lists
+from gridfolio.llm.chunk_ids import ChunkEncoder
 from gridfolio.llm.common import in_order, new_path, running_totals, stored
 from gridfolio.llm.piece_table import BLOCK, PieceTable, padded, texts_of
 
@@ -95,16 +95,6 @@ def byte_bpe(path: str, spell_special: bool = True) -> ChunkEncoder:
     return ChunkEncoder(split, encode_some, REMEMBERED, 4 << 20)
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, spell_special: bool = True) -> Iterator[pa.RecordBatch]:
-    """(the other columns, ids) for batches whose last column is the text; ``end_id`` closes every document."""
-    encoder, end = byte_bpe(path, spell_special), np.array([end_id], "<u4").tobytes()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            found = [f + end for f in encoder([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], id_lists(found)], [*batch.schema.names[:-1], "ids"])
-
-
 @lru_cache(maxsize=2)
 def piece_table(path: str, end_id: int) -> tuple[PieceTable, tuple[bytes, ...]]:
     """The worker's table of pieces, and the names of the vocabulary's added tokens; kept for the worker's later tasks."""
@@ -134,13 +124,14 @@ def piece_table(path: str, end_id: int) -> tuple[PieceTable, tuple[bytes, ...]]:
     return PieceTable(encode, end_id, TABLE_PIECES), added
 
 
-def encode_columns(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def encode_columns(batches: Iterator[pa.RecordBatch], path: str, end_id: int, spell_special: bool = False) -> Iterator[pa.RecordBatch]:
     """(the other columns, ids) for batches whose last column is the text, ``end_id`` after each document.
 
-    Texts go through the worker's table of pieces as bytes. A text with the name of an added token in it is cut there
-    and its parts take the same way.
+    Texts go through the worker's table of pieces as bytes. A text with the name of an added token in it is cut there,
+    as the library does, and its parts are encoded apart; with ``spell_special`` such names are ordinary text.
     """
     table, added = piece_table(path, end_id)
+    added = () if spell_special else added
     for whole in batches:
         buf, offsets = texts_of(whole.column(whole.num_columns - 1))
         at = 0

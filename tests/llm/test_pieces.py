@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridfolio.llm import piece_table, token_orc
+from gridfolio.llm import piece_table, separator_scan, token_orc
 from gridfolio.llm.common import new_path
 
 PATH = token_orc.default_tokenizer()
@@ -80,3 +80,27 @@ def test_lookups_reach_the_files(spark):
     assert "GreaterThanOrEqual(doc_id,10)" in part._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(list, (r.ids for r in part.collect()))) == sorted(library([f"text {i}" for i in (10, 11, 12)]))
     assert token_orc.read_orc(spark, folder).count() == 2000
+
+
+def test_flat_files_in_order_of_ids(spark):
+    """Numbers and starts follow doc_id, whatever the partitions, and names of special tokens are no separators."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(ODD) for _ in range(rng.randrange(12)))) for i in rng.sample(range(1000), 300)] + [(None, "no id"), (5000, None), (5000, "same id, longer"), (5000, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, part string")
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    sizes = sorted(((i is not None, i or 0, len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows))
+    starts = np.cumsum([0, *(n for *_, n in sizes)])
+    want = [(i if known else None, k, int(starts[k]), n) for k, (known, i, n) in enumerate(sizes)]
+    for parts in (1, 5):
+        got = separator_scan.counted_documents(docs.repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_ids_without_a_place_are_an_error(spark):
+    assert separator_scan.width_of(PATH) == 2 and separator_scan.width_of(PATH, 70_000) == 4
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="no place"):
+        separator_scan.write_flat(docs, new_path(spark, "narrow"), separator=70_000).collect()
+    places = separator_scan.write_flat(docs, new_path(spark, "wide-ids"), separator=70_000, width=4)
+    assert separator_scan.scan(separator_scan.sized(places, 4), 70_000, width=4).first().n_tokens == 2
