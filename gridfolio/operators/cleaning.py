@@ -52,6 +52,19 @@ ADJUSTED_ITEMS = ["수정시가", "수정고가", "수정저가", "수정주가"
 FIELDS = ["open", "high", "low", "close", "volume"]
 
 
+def metric_cells(sheet: DataFrame, header_row: int) -> DataFrame:
+    """(row_no, date, ticker, value) of a metric sheet's cells: tickers stand in the header row, dates in the first column.
+
+    Cells of rows without a date and of columns without a ticker are left out. A column has one ticker and a row one
+    date, so the joins add to each cell and bring nothing together.
+    """
+    tickers = sheet.where((C("row_no") == header_row) & (C("col_no") > 0)).select("col_no", C("cell").alias("ticker"))
+    body = sheet.where(C("row_no") > header_row)
+    dates = body.where(C("col_no") == 0).select("row_no", C("cell").alias("date"))
+    cells = body.where(C("col_no") > 0).select("row_no", "col_no", C("cell").alias("value"))
+    return cells.join(tickers, "col_no").join(dates, "row_no").select("row_no", "date", "ticker", "value")
+
+
 def skip_rows(first: int) -> Step:
     return lambda df: df.where(C("row_no") >= first)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import by_ticker, div, full_window, trailing
 from gridfolio.operators.calendar import per_day
+from gridfolio.sources.store import stored
 
 C = F.col
 POINTS = "array<struct<px:int,py:int>>"
@@ -260,25 +261,24 @@ def training_windows(
 ) -> DataFrame:
     """Windows that end at (date, ticker): features, forward return (or class) and drawdown.
 
-    ``cells`` is a dense grid with ``valid`` and the feature columns. The short
-    arrays are built last, for the rows that are kept.
+    ``cells`` is a dense grid with ``valid`` and the feature columns. Which rows end a window is settled first; then the
+    rows of a ticker are brought together in lines of a few hundred, with the rows before them that their windows reach
+    back to, and only the windows that are kept are cut out of the lines.
     """
     need = math.ceil(lookback * min_valid)
     total = n_dates if isinstance(n_dates, Column) else F.lit(n_dates)
     ahead = by_ticker().rowsBetween(0, horizon)
-    x = F.collect_list(F.array(*[C(n).cast("float") for n in names])).over(trailing(lookback))
-    falls = with_forward_drawdown(cells, horizon, "target_dd")
-    steps = falls.select(
+    steps = with_forward_drawdown(cells, horizon, "target_dd").select(
         "ticker",
         "pos",
         "date",
-        x.alias("x"),
+        F.array(*[C(n).cast("float") for n in names]).alias("f"),
         F.sum(C("valid").cast("int")).over(trailing(lookback)).alias("n_valid"),
         F.count("close").over(ahead).alias("n_ahead"),
         forward_return(horizon).alias("target_ret"),
         "target_dd",
     )
-    kept = steps.where(
+    ends = (
         (C("pos") >= lookback)
         & ((C("pos") - lookback) % stride == 0)
         & (C("pos") + horizon <= total)
@@ -286,26 +286,26 @@ def training_windows(
         & (C("n_ahead") == horizon + 1)
         & C("target_ret").isNotNull()
     )
+    rows = steps.select("ticker", "pos", "date", "f", "target_ret", "target_dd", F.coalesce(ends, F.lit(False)).alias("ends"))
     if min_assets > 1:
-        full = kept.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(C("n") >= min_assets).select("pos")
-        kept = kept.join(per_day(full, "pos"), "pos", "left_semi")
-    target = C("target_ret") if threshold is None else (C("target_ret") > threshold).cast("double")
-    return kept.select("date", "ticker", "x", target.alias("target_cls"), "target_dd")
-
-
-def score_windows(
-    windows: DataFrame, predict: Callable[[pd.Series], pd.DataFrame], schema: str, keys: Sequence[str] = ("date", "ticker")
-) -> DataFrame:
-    """Run a user's batch model over windows: ``predict`` maps a series of arrays to columns."""
-    cols = list(keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = predict(pdf["x"]).reset_index(drop=True)
-            yield pd.concat([pdf[cols].reset_index(drop=True), out], axis=1)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema if f.name in cols)
-    return windows.select(*cols, "x").mapInPandas(run, f"{kinds}, {schema}")
+        rows = stored(rows, "steps")
+        full = rows.where("ends").groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(C("n") >= min_assets).select("pos", F.lit(True).alias("full"))
+        rows = rows.join(per_day(full, "pos"), "pos", "left").withColumn("ends", C("ends") & C("full").isNotNull())
+    long = max(256, 4 * lookback)
+    first, last = (F.floor((C("pos") - 1 + back) / long).cast("int") for back in (0, lookback - 1))
+    spread = rows.select("*", F.explode(F.sequence(first, last)).alias("line_no"))
+    own = C("ends") & (C("line_no") == first)
+    cell = F.struct("pos", "f", own.alias("ends"), "date", "target_ret", "target_dd")
+    lines = spread.groupBy("ticker", "line_no").agg(F.array_sort(F.collect_list(cell)).alias("line"))
+
+    def window(end: Column) -> Column:
+        start = end["pos"] - F.get("line", F.lit(0))["pos"] - lookback + 2
+        x = F.transform(F.slice("line", start, F.lit(lookback)), lambda r: r["f"])
+        return F.struct(end["date"].alias("date"), x.alias("x"), end["target_ret"].alias("ret"), end["target_dd"].alias("target_dd"))
+
+    kept = lines.select("ticker", F.explode(F.transform(F.filter("line", lambda r: r["ends"]), window)).alias("w"))
+    target = C("w.ret") if threshold is None else (C("w.ret") > threshold).cast("double")
+    return kept.select("w.date", "ticker", "w.x", target.alias("target_cls"), "w.target_dd")
 
 
 #: models of this Python worker, by the name that the driver gave to their factory

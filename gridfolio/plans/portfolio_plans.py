@@ -33,7 +33,7 @@ _PANELS: dict[tuple, DataFrame] = {}
 
 
 def forget() -> None:
-    """Drop the tables that queries of one session share."""
+    """Drop what queries of one session share; ``store.release`` deletes the tables themselves."""
     _EVALUATIONS.clear()
     _PANELS.clear()
 

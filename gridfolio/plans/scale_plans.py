@@ -14,7 +14,7 @@ from gridfolio.operators import cleaning as cl
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators import samples as sm
 from gridfolio.operators import scoring as sc
-from gridfolio.operators.calendar import period_start
+from gridfolio.operators.calendar import per_day, period_start
 from gridfolio.operators.evaluation import Data
 from gridfolio.operators.scenarios import Scenarios
 from gridfolio.operators.strategies import ChosenGroups
@@ -29,7 +29,7 @@ from gridfolio.plans.sample_plans import _win_sql as win_sql
 from gridfolio.plans.sample_plans import _windows as training
 from gridfolio.plans.scoring_plans import res
 from gridfolio.plans.source_plans import vendor_sheet
-from gridfolio.plans.views_sql import VIEWS, r, sig, view
+from gridfolio.plans.views_sql import r, sig, view
 from gridfolio.sources import sheets, tables, wide
 from gridfolio.sources.store import let_tasks_import, new_path
 
@@ -129,6 +129,7 @@ view(
        union all select entry_date, 'tails', ticker from chosen_rank where names >= 30 and (k <= 3 or k > names - 3)""",
 )
 def pf3_chosen(spark, sf):
+    let_tasks_import(spark)
     bt = pp.run(spark, sf, CHOSEN)
     return member_cols(bt.members, bt.windows).select("entry_date", "group_id", "ticker")
 
@@ -139,6 +140,7 @@ def pf3_chosen(spark, sf):
        from pb_win w left join (select wid, count(score) as n from pb_cand group by wid) c on c.wid = w.wid""",
 )
 def pf3_notes(spark, sf):
+    let_tasks_import(spark)
     return pp.run(spark, sf, CHOSEN).notes.select("entry_date", C("n").alias("n_scores"), "note")
 
 
@@ -284,6 +286,44 @@ def src3_files(spark, sf):
 CHECKS["src3_sheet_files"] = CHECKS["src3_vendor_sheet_bars"]
 
 
+view(
+    "metric_sheet_w",
+    """select c.pos + 13 as row_no, case when c.pos % 13 = 0 then 'n/a' else cast(b.date as varchar) end as date, 'T' || b.ticker as ticker,
+        case when cast(b.ticker as bigint) % 17 = 3 and c.pos % 9 = 0 then 'x #INVALID OPTION' when b.volume % 7 = 0 then 'missing'
+             else cast(cast(round(b.close * 100) as bigint) as varchar) end as value
+       from bars_w b join cal_w c on c.date = b.date""",
+)
+MARKED = "ticker in (select ticker from metric_sheet_w where row_no >= 20 and value like '%#INVALID OPTION%')"
+
+
+def metric_sheet(spark, sf) -> DataFrame:
+    """A metric sheet as (row_no, col_no, cell): tickers in row 6, dates in column 0 from row 14 on."""
+    bars, cal = tables.bars(spark, sf).select("ticker", "date", "close", "volume"), tables.bar_calendar(spark, sf)
+    number = C("ticker").cast("long")
+    heads = bars.select("ticker").distinct().select(F.lit(6).alias("row_no"), number.alias("col_no"), F.concat(F.lit("T"), "ticker").alias("cell"))
+    dates = cal.select((C("pos") + 13).alias("row_no"), F.lit(0).cast("long").alias("col_no"), F.when(C("pos") % 13 == 0, F.lit("n/a")).otherwise(C("date").cast("string")).alias("cell"))
+    bad = (number % 17 == 3) & (C("pos") % 9 == 0)
+    price = F.when(bad, F.lit("x #INVALID OPTION")).when(C("volume") % 7 == 0, F.lit("missing")).otherwise(F.round(C("close") * 100).cast("long").cast("string"))
+    body = bars.join(per_day(cal, "date"), "date").select((C("pos") + 13).alias("row_no"), number.alias("col_no"), price.alias("cell"))
+    return heads.unionByName(dates).unionByName(body)
+
+
+@query(
+    "src4_sheet_files",
+    f"""select try_cast(date as date) as date, ticker, case when {MARKED} then 0.0 else try_cast(value as double) end as value
+        from metric_sheet_w where row_no >= 20 and try_cast(date as date) is not null
+        and ticker in (select ticker from metric_sheet_w where row_no >= 20 and try_cast(date as date) is not null
+            and (try_cast(value as double) is not null or {MARKED}))""",
+)
+def src4_files(spark, sf):
+    """A metric sheet through CSV files, its chain of steps, and a panel."""
+    path = new_path(spark, "metric-sheet")
+    sheets.write_sheet(metric_sheet(spark, sf), path)
+    steps = [cl.skip_rows(20), cl.zero_marked_tickers(), cl.coerce_dates, cl.coerce_numbers, cl.drop_empty_tickers]
+    cells = cl.metric_cells(sheets.read_sheet(spark, path), 6)
+    return cl.chain(cells, steps).select("date", "ticker", "value")
+
+
 @query(
     "snk1_wide_panels",
     f"select ticker, date, {r('score', 9)} as score from scores_long where model = 'a'",
@@ -295,7 +335,14 @@ def snk1_wide(spark, sf):
     return wide.read_wide(spark, path).select("ticker", "date", rounded(C("value"), 9).alias("score"))
 
 
-KEYS = ["ticker", "start_date", "end_date"]
+@query("rep1_wide_curves", f"select gid as portfolio, date, {sig('eq')} as equity from pb_eq")
+def rep1_wide(spark, sf):
+    """Equity curves side by side, as a report exports them, and read back."""
+    path = new_path(spark, "wide-curves")
+    wide.write_wide(pp.base(spark, sf).equity, path, name="group_id", value="equity", columns=4)
+    return wide.read_wide(spark, path).select(C("ticker").alias("portfolio"), "date", significant(C("value")).alias("equity"))
+
+
 view(
     "pixels_d",
     f"""select ticker, end_date, px, py from ({CHECKS["wn8_pixel_table"]})""",

@@ -11,11 +11,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from gridfolio.operators import samples as sm
 from gridfolio.operators import scoring as sc
 from gridfolio.sources import panels, sheets, wide
+from gridfolio.sources import store
 from gridfolio.sources.store import let_tasks_import
 
 DAY = dt.date(2024, 1, 1)
@@ -128,6 +128,14 @@ def test_cache_versions_are_published_last(spark):
         cache.load({"v": 2})
 
 
+def test_stored_tables_are_released(spark, monkeypatch):
+    monkeypatch.setattr(store, "_WRITTEN", {})
+    kept = store.stored(spark.range(3), "release")
+    folder = store._WRITTEN[spark.sparkContext.applicationId][0]
+    assert kept.count() == 3 and os.path.isdir(folder)
+    assert store.release(spark) == 1 and not os.path.exists(folder) and store.release(spark) == 0
+
+
 # ------------------------------------------------------------------ models
 
 
