@@ -15,9 +15,9 @@ lies further back weighs less than 1e-20.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECADES = 20.0
@@ -27,33 +27,44 @@ def with_ewm(
     df: DataFrame, value: str, span: float, out: str, *, keys: Sequence[str] = ("ticker",), order: str = "pos"
 ) -> DataFrame:
     """Add ``out``, the exponentially weighted mean of ``value`` along ``order``."""
-    alpha = 2.0 / (span + 1.0)
+    return with_ewms(df, value, {out: span}, keys=keys, order=order)
+
+
+def with_ewms(
+    df: DataFrame, value: str, spans: Mapping[str, float], *, keys: Sequence[str] = ("ticker",), order: str = "pos"
+) -> DataFrame:
+    """Add one exponentially weighted mean of ``value`` per entry of ``spans``; what does not depend on the span is computed once."""
     line = Window.partitionBy(*keys).orderBy(order)
-    x = F.col(value)
-    if alpha >= 1.0:
-        return df.withColumn(out, F.last(x, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    decay = -math.log10(1.0 - alpha)
-    cols = df.columns
-    before = F.last(F.when(x.isNotNull(), F.col(order)), ignorenulls=True).over(
-        line.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    step = df.withColumn("_g", F.col(order) - before)
-    w = F.pow(F.lit(1.0 - alpha), F.col("_g"))
-    step = step.select(
-        *cols,
-        F.when(x.isNull() | F.col("_g").isNull(), F.lit(0.0))
-        .otherwise(F.col("_g") * F.lit(decay) + F.log10(w + F.lit(alpha)))
-        .alias("_d"),
-        F.when(x.isNull(), F.lit(0.0)).when(F.col("_g").isNull(), x).otherwise(x * F.lit(alpha) / (w + F.lit(alpha))).alias("_b"),
-        F.count(x).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_seen"),
-    )
-    summed = step.withColumn("_s", F.sum("_d").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    summed = summed.withColumn("_k", F.floor(F.col("_s") / DECADES))
-    offset = F.col("_s") - F.col("_k") * DECADES
-    block = Window.partitionBy(*keys, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = summed.withColumn("_l", F.sum(F.col("_b") * F.pow(F.lit(10.0), offset)).over(block) * F.pow(F.lit(10.0), -offset))
-    local = local.withColumn("_pl", F.lag("_l").over(line)).withColumn("_ps", F.lag("_s").over(line))
-    tail = F.first("_pl").over(block) * F.pow(F.lit(10.0), F.first("_ps").over(block) - F.col("_s"))
-    return local.select(
-        *cols, F.when(F.col("_seen") > 0, F.col("_l") + F.coalesce(tail, F.lit(0.0))).alias(out)
-    )
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    x, cols = F.col(value), df.columns
+    alphas = {out: 2.0 / (span + 1.0) for out, span in spans.items()}
+    plain = {out: F.last(x, ignorenulls=True).over(so_far).alias(out) for out, a in alphas.items() if a >= 1.0}
+    fading = {out: a for out, a in alphas.items() if a < 1.0}
+    before = F.last(F.when(x.isNotNull(), F.col(order)), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    step = df.select(*cols, (F.col(order) - before).alias("_g"), F.count(x).over(so_far).alias("_seen"), *plain.values())
+    weights = {out: F.pow(F.lit(1.0 - a), F.col("_g")) for out, a in fading.items()}
+    for i, (out, a) in enumerate(fading.items()):
+        w, decay = weights[out], -math.log10(1.0 - a)
+        step = step.withColumns(
+            {
+                f"_d{i}": F.when(x.isNull() | F.col("_g").isNull(), F.lit(0.0)).otherwise(F.col("_g") * F.lit(decay) + F.log10(w + F.lit(a))),
+                f"_b{i}": F.when(x.isNull(), F.lit(0.0)).when(F.col("_g").isNull(), x).otherwise(x * F.lit(a) / (w + F.lit(a))),
+            }
+        )
+    numbers = range(len(fading))
+    summed = step.withColumns({f"_s{i}": F.sum(f"_d{i}").over(so_far) for i in numbers})
+    summed = summed.withColumns({f"_k{i}": F.floor(F.col(f"_s{i}") / DECADES) for i in numbers})
+    blocks = {i: Window.partitionBy(*keys, f"_k{i}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for i in numbers}
+    local = summed
+    for i in numbers:
+        offset = F.col(f"_s{i}") - F.col(f"_k{i}") * DECADES
+        scaled = F.sum(F.col(f"_b{i}") * F.pow(F.lit(10.0), offset)).over(blocks[i]) * F.pow(F.lit(10.0), -offset)
+        local = local.withColumn(f"_l{i}", scaled)
+    local = local.withColumns({f"_pl{i}": F.lag(f"_l{i}").over(line) for i in numbers} | {f"_ps{i}": F.lag(f"_s{i}").over(line) for i in numbers})
+
+    def mean(i: int) -> Column:
+        tail = F.first(f"_pl{i}").over(blocks[i]) * F.pow(F.lit(10.0), F.first(f"_ps{i}").over(blocks[i]) - F.col(f"_s{i}"))
+        return F.when(F.col("_seen") > 0, F.col(f"_l{i}") + F.coalesce(tail, F.lit(0.0)))
+
+    made = {out: mean(i).alias(out) for i, out in enumerate(fading)}
+    return local.select(*cols, *[made[out] if out in made else F.col(out) for out in spans])

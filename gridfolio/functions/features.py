@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.functions.ewm import with_ewm
+from gridfolio.functions.ewm import with_ewm, with_ewms
 from gridfolio.functions.expr import by_ticker, div, trailing, zero_to_null
 from gridfolio.operators.calendar import per_day
 
@@ -95,7 +95,7 @@ def mfi(df: DataFrame, out: str = "mfi", window: int = 14) -> DataFrame:
 
 
 def macd(df: DataFrame, out: str = "macd", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    step = with_ewm(with_ewm(df, "close", fast, "_f"), "close", slow, "_s")
+    step = with_ewms(df, "close", {"_f": fast, "_s": slow})
     step = with_ewm(step.withColumn("_line", C("_f") - C("_s")), "_line", signal, "_sig")
     return step.withColumn(out, div(C("_line") - C("_sig"), C("close"))).drop("_f", "_s", "_line", "_sig")
 
