@@ -308,6 +308,21 @@ def training_windows(
     return kept.select("w.date", "ticker", "w.x", target.alias("target_cls"), "w.target_dd")
 
 
+def score_windows(
+    windows: DataFrame, predict: Callable[[pd.Series], pd.DataFrame], schema: str, keys: Sequence[str] = ("date", "ticker")
+) -> DataFrame:
+    """Run a user's batch model over windows: ``predict`` maps a series of arrays to columns."""
+    cols = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = predict(pdf["x"]).reset_index(drop=True)
+            yield pd.concat([pdf[cols].reset_index(drop=True), out], axis=1)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema if f.name in cols)
+    return windows.select(*cols, "x").mapInPandas(run, f"{kinds}, {schema}")
+
+
 #: models of this Python worker, by the name that the driver gave to their factory
 _MODELS: dict[str, Mapping[str, Callable[[pd.Series], pd.DataFrame]]] = {}
 

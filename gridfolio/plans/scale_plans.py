@@ -300,11 +300,11 @@ def metric_sheet(spark, sf) -> DataFrame:
     """A metric sheet as (row_no, col_no, cell): tickers in row 6, dates in column 0 from row 14 on."""
     bars, cal = tables.bars(spark, sf).select("ticker", "date", "close", "volume"), tables.bar_calendar(spark, sf)
     number = C("ticker").cast("long")
-    heads = bars.select("ticker").distinct().select(F.lit(6).alias("row_no"), number.alias("col_no"), F.concat(F.lit("T"), "ticker").alias("cell"))
+    heads = bars.select("ticker").distinct().select(F.lit(6).alias("row_no"), (number + 1).alias("col_no"), F.concat(F.lit("T"), "ticker").alias("cell"))
     dates = cal.select((C("pos") + 13).alias("row_no"), F.lit(0).cast("long").alias("col_no"), F.when(C("pos") % 13 == 0, F.lit("n/a")).otherwise(C("date").cast("string")).alias("cell"))
     bad = (number % 17 == 3) & (C("pos") % 9 == 0)
     price = F.when(bad, F.lit("x #INVALID OPTION")).when(C("volume") % 7 == 0, F.lit("missing")).otherwise(F.round(C("close") * 100).cast("long").cast("string"))
-    body = bars.join(per_day(cal, "date"), "date").select((C("pos") + 13).alias("row_no"), number.alias("col_no"), price.alias("cell"))
+    body = bars.join(per_day(cal, "date"), "date").select((C("pos") + 13).alias("row_no"), (number + 1).alias("col_no"), price.alias("cell"))
     return heads.unionByName(dates).unionByName(body)
 
 
@@ -359,7 +359,7 @@ view(
 def wn8_packed(spark, sf):
     rows, names = chart_base(spark, sf)
     points = sm.pixels(sm.scaled_bars(rows, N, names, HEIGHT), N, names, HEIGHT)
-    return sm.packed_charts(points, KEYS, 3 * N, HEIGHT).select("ticker", "end_date", F.hex("raster").alias("raster"))
+    return sm.packed_charts(points, ["ticker", "start_date", "end_date"], 3 * N, HEIGHT).select("ticker", "end_date", F.hex("raster").alias("raster"))
 
 
 def member_models():
