@@ -97,6 +97,26 @@ def test_wide_panel_of_a_thousand_tickers(spark, tmp_path):
         wide.write_wide(df.limit(0), str(tmp_path / "x"))
 
 
+def test_wide_panel_of_many_blocks_takes_few_jobs(spark, tmp_path):
+    """The number of jobs does not grow with the number of blocks; a block of its own width, repeated cells and empty dates stay."""
+    rows = [(DAY + dt.timedelta(days=d), f"a b/{i:03d}", float(i * 10 + d)) for d in range(3) for i in range(101) if (i + d) % 5]
+    rows += [(DAY, "a b/001", 99.0), (DAY + dt.timedelta(days=9), "a b/000", None), (DAY, None, 1.0)]
+    df = spark.createDataFrame(rows, "date date, ticker string, value double")
+    spark.sparkContext.setJobGroup("wide", "wide")
+    blocks = wide.write_wide(df, str(tmp_path / "w"), columns=2)
+    got = wide.read_wide(spark, str(tmp_path / "w")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("wide"))
+    spark.sparkContext.setJobGroup("", "")
+    best = {}
+    for d, t, v in rows:
+        if t is not None and v is not None:
+            best[d, t] = max(v, best.get((d, t), v))
+    assert {(r.date, r.ticker): r.value for r in got} == best and len(got) == len(best)
+    assert len(blocks) == 51 and len(blocks[-1]) == 1 and jobs < 25
+    last = pd.read_parquet(tmp_path / "w" / "columns=0050")
+    assert list(last.columns) == ["Date", "a b/100"] and len(last) == 4
+
+
 # ------------------------------------------------------------------ cache
 
 
