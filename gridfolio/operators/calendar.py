@@ -56,6 +56,15 @@ def calendar_of(dates: DataFrame, col: str = "date") -> DataFrame:
     )
 
 
+def in_parts(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` into as many parts as the session's shuffles have.
+
+    Left to itself the optimiser joins parts until each is large as it is sent, before gaps are filled and windows add
+    their columns, so that the memory of one task would grow with the table.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def dense_grid(
     facts: DataFrame, calendar: DataFrame, values: Sequence[str], keys: Sequence[str] = ("ticker",)
 ) -> DataFrame:
@@ -70,7 +79,7 @@ def dense_grid(
     placed = facts.join(per_day(calendar, "date"), "date").select(
         *keys, F.col("pos").alias("src"), "n_dates", *values
     )
-    spans = placed.select(
+    spans = in_parts(placed, *keys).select(
         *keys,
         "src",
         *values,
