@@ -17,11 +17,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridfolio.functions import features as feat
 from gridfolio.functions.ewm import with_ewm
 from gridfolio.functions.expr import div
-from gridfolio.operators.calendar import per_day
+from gridfolio.operators.calendar import in_parts, per_day
 from gridfolio.sources.store import stored
 
 C = F.col
@@ -47,7 +48,7 @@ def blocked_grid(facts: DataFrame, calendar: DataFrame, values: Sequence[str], r
     marks = marks.select("ticker", "src", "n_dates", *[F.lit(None).cast(kinds[v]).alias(v) for v in values], "block")
     order = Window.partitionBy(*LINE).orderBy("src")
     last = F.least((C("block") + 1) * rows, C("n_dates"))
-    spans = placed.unionByName(marks).select(
+    spans = in_parts(placed.unionByName(marks), *LINE).select(
         *LINE, "src", *values,
         F.greatest(C("src"), C("block") * rows + 1).alias("lo"),
         F.coalesce(F.lead("src").over(order) - 1, last).alias("hi"),
@@ -66,9 +67,20 @@ def over_blocks(cells: DataFrame, reach: int, build: Callable[[DataFrame], DataF
     first, last = block_of(C("pos"), rows), block_of(C("pos") + reach, rows)
     plain = cells.drop("block")
     spread = plain.withColumn("block", F.explode(F.sequence(first, last)))
-    built = build(spread.withColumn("ticker", F.struct("ticker", "block")))
+    pair, back = _line_name(cells.schema["ticker"].dataType)
+    built = build(in_parts(spread.withColumn("ticker", pair), "ticker"))
     own = built.where(C("block") == block_of(C("pos"), rows))
-    return own.withColumn("ticker", C("ticker.ticker"))
+    return own.withColumn("ticker", back)
+
+
+def _line_name(kind: T.DataType) -> tuple[Column, Column]:
+    """A name of the (ticker, block) pair and the ticker of that name; one string where it can be, which sorts fast."""
+    if not isinstance(kind, T.StringType):
+        return F.struct("ticker", "block"), C("ticker.ticker")
+    number = C("block").cast("string")
+    pair = F.when(C("ticker").isNotNull(), F.concat(number, F.lit("|"), C("ticker"))).otherwise(number)
+    at = F.instr(C("ticker"), "|")
+    return pair, F.when(at > 0, F.substr(C("ticker"), at + 1))
 
 
 # ---------------------------------------------------------------- indicators
@@ -136,7 +148,7 @@ def blocked_ewm(cells: DataFrame, value: str, span: float, out: str, rows: int =
     line = Window.partitionBy(*LINE).orderBy("pos")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
     cols = [c for c in cells.columns if c != "block"]
-    keyed = cells.withColumn("block", block_of(C("pos"), rows))
+    keyed = in_parts(cells.withColumn("block", block_of(C("pos"), rows)), *LINE)
     local = with_ewm(keyed, value, span, "_local", keys=LINE)
     before = F.last(F.when(x.isNotNull(), C("pos")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     local = local.withColumn("_gap", C("pos") - before)

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions import features as feat
@@ -21,6 +22,7 @@ from gridfolio.operators import scenarios as scn
 from gridfolio.operators.calendar import calendar_of, dense_grid, period_start
 from gridfolio.operators.panels import rolling_sums
 from gridfolio.operators.strategies import ChosenGroups, selected
+from gridfolio.sources import tables
 
 DAY = dt.date(2024, 1, 1)
 
