@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridfolio.functions.expr import rounded, significant, trailing
 from gridfolio.operators import evaluation as ev
 from gridfolio.operators import portfolio as pf
-from gridfolio.operators.calendar import rebalance_schedule, rebalance_windows
+from gridfolio.operators.calendar import dense_grid, rebalance_schedule, rebalance_windows
 from gridfolio.operators.panels import forward_fill
 from gridfolio.plans.portfolio_sql import portfolio_views
 from gridfolio.plans.registry import query
@@ -79,12 +79,19 @@ portfolio_views("mk", bps=BPS, masked=True)
 
 def masked(spark, sf) -> pf.Evaluation:
     """The base rules over panels as a user has them: long tables, masked by the members of the universe."""
-    close = tables.bars(spark, sf).select("date", "ticker", C("close").alias("value"))
-    opens = tables.bars(spark, sf).select("date", "ticker", C("open").alias("value"))
-    scores = tables.scores(spark, sf, ["b"]).select("date", "ticker", "score")
-    caps = tables.market_caps(spark, sf).where(C("cap").isNotNull()).select("date", "ticker", C("cap").alias("value"))
-    data = ev.build_panel({"all": scores}, close, opens=opens, caps=caps, universe=tables.universe(spark, sf))
-    return ev.evaluate(data, BASE)
+    key = (spark.sparkContext.applicationId, sf, "masked")
+    if key in _EVALUATIONS:
+        return _EVALUATIONS[key]
+    # each is read several times below
+    bars = stored(tables.bars(spark, sf).select("ticker", "date", "open", "close", "amount"), "bars")
+    cal = stored(tables.bar_calendar(spark, sf), "calendar")
+    cells = dense_grid(bars, cal, ["close", "amount"])
+    scores = stored(tables.scores(spark, sf, ["b"], cells).select("date", "ticker", "score"), "scores")
+    caps = tables.market_caps(spark, sf, cells).where(C("cap").isNotNull()).select("date", "ticker", C("cap").alias("value"))
+    members = stored(tables.universe(spark, sf, cells, cal), "universe")
+    close, opens = (bars.select("date", "ticker", C(c).alias("value")) for c in ("close", "open"))
+    _EVALUATIONS[key] = ev.evaluate(ev.build_panel({"all": scores}, close, opens=opens, caps=caps, universe=members), BASE)
+    return _EVALUATIONS[key]
 
 
 @query("pf30_masked_groups", "select entry_date, gid as group_id, ticker from mk_mem")

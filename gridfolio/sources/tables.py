@@ -190,9 +190,9 @@ def with_scores(df: DataFrame, models: list[str]) -> DataFrame:
     return df
 
 
-def scores(spark: SparkSession, sf_dir: str, models: list[str]) -> DataFrame:
-    """Long scores, present cells only: (model, ticker, pos, date, score)."""
-    wide = with_scores(grid(spark, sf_dir, values=["close"]), models)
+def scores(spark: SparkSession, sf_dir: str, models: list[str], cells: DataFrame | None = None) -> DataFrame:
+    """Long scores, present cells only: (model, ticker, pos, date, score); of ``cells``, where the grid is at hand."""
+    wide = with_scores(grid(spark, sf_dir, values=["close"]) if cells is None else cells.select("ticker", "pos", "date", "close"), models)
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"score_{m}").alias("score")) for m in models]))
     return wide.select("ticker", "pos", "date", pairs.alias("s")).select(
         "s.model", "ticker", "pos", "date", "s.score"
