@@ -23,6 +23,7 @@ from gridfolio.operators.calendar import calendar_of, dense_grid, period_start
 from gridfolio.operators.panels import rolling_sums
 from gridfolio.operators.strategies import ChosenGroups, selected
 from gridfolio.sources import tables
+from gridfolio.sources.store import stored
 
 DAY = dt.date(2024, 1, 1)
 
@@ -274,3 +275,12 @@ def test_periods_match_resampling(spark, freq, rule):
     got = sorted(r.last for r in df.groupBy(period_start("date", freq)).agg(F.max("date").alias("last")).collect())
     series = pd.Series(kept, index=pd.DatetimeIndex(kept))
     assert got == sorted(series.resample(rule).last().dropna().tolist())
+
+
+def test_members_are_not_shuffled_to_meet_the_totals_of_their_group(spark):
+    rows = [("r", 1, "q1", f"t{i}", i % 2 == 0, False, 1.0, float(i + 1)) for i in range(6)]
+    weighed = stored(spark.createDataFrame(rows, "run string, window_id int, group_id string, ticker string, kept boolean, halted boolean, cap double, base double"), "weighed")
+    held = pf.shares(weighed, F.lit(True))
+    plan = plan_of(held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.ticker: r.share for r in held.collect()} == {f"t{i}": (i + 1) / 9 if i % 2 == 0 else 0.0 for i in range(6)}
