@@ -278,9 +278,48 @@ def test_periods_match_resampling(spark, freq, rule):
 
 
 def test_members_are_not_shuffled_to_meet_the_totals_of_their_group(spark):
-    rows = [("r", 1, "q1", f"t{i}", i % 2 == 0, False, 1.0, float(i + 1)) for i in range(6)]
+    rows = [("r", 1, "q1", f"t{i}", i % 2 == 0, False, 1.0, 1.0) for i in range(20_000)]
     weighed = stored(spark.createDataFrame(rows, "run string, window_id int, group_id string, ticker string, kept boolean, halted boolean, cap double, base double"), "weighed")
-    held = pf.shares(weighed, F.lit(True))
-    plan = plan_of(held)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # fewer bytes than the members have
+    try:
+        held = pf.shares(weighed, F.lit(True))
+        plan = plan_of(held)
+        shares = {r.share for r in held.select("share").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert {r.ticker: r.share for r in held.collect()} == {f"t{i}": (i + 1) / 9 if i % 2 == 0 else 0.0 for i in range(6)}
+    assert shares == {0.0, 1.0 / 10_000}
+
+
+# ------------------------------------------------------------------ work per task
+
+
+def test_windows_of_a_grid_run_in_as_many_parts_as_shuffles_have(spark):
+    """Left to the optimiser, few bytes were one part however many cells they become; plain and blocked alike."""
+    facts = spark.createDataFrame([(f"t{i}", DAY + dt.timedelta(days=d), 1.0) for i in range(12) for d in (0, 2)], "ticker string, date date, close double")
+    calendar = calendar_of(facts.unionByName(facts.withColumn("date", F.date_add("date", 1))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = dense_grid(facts, calendar, ["close"])
+    assert cells.rdd.getNumPartitions() == parts and cells.count() == 48
+    blocked = bl.blocked_grid(facts, calendar, ["close"], 2)
+    assert blocked.rdd.getNumPartitions() == parts and blocked.count() == 48
+    rolled = bl.over_blocks(blocked, 1, lambda df: df.withColumn("s", F.sum("close").over(Window.partitionBy("ticker").orderBy("pos").rowsBetween(-1, 0))), 2)
+    assert rolled.rdd.getNumPartitions() == parts and rolled.count() == 48
+
+
+def test_blocks_of_tickers_of_any_name_or_none(spark):
+    names = ["a", "0|a", "|a", "1", "", None]
+    rows = [(n, p, DAY + dt.timedelta(days=p), float(10 * i + p)) for i, n in enumerate(names) for p in range(1, 6)]
+    cells = spark.createDataFrame(rows, "ticker string, pos int, date date, close double").withColumn("block", bl.block_of(F.col("pos"), 2))
+    frame = Window.partitionBy("ticker").orderBy("pos").rowsBetween(-1, 0)
+    got = bl.over_blocks(cells, 1, lambda df: df.withColumn("s", F.sum("close").over(frame)), 2).collect()
+    want = {(n, p): v + (v - 1 if p > 1 else 0) for n, p, _, v in rows}
+    assert len(got) == len(rows) and {(r.ticker, r.pos): r.s for r in got} == want
+
+
+def test_scores_of_a_grid_at_hand_read_no_table(spark):
+    rows = [("a", p, DAY + dt.timedelta(days=7 * p), float(p), 1.0) for p in range(1, 8)]
+    cells = spark.createDataFrame(rows, "ticker string, pos int, date date, close double, amount double")
+    got = tables.scores(spark, "/no/such/folder", ["b"], cells).collect()
+    assert sorted((r.model, r.pos, r.score) for r in got) == [("b", p, p / (p - 4) - 1.0) for p in (5, 6, 7)]
