@@ -323,3 +323,46 @@ def test_scores_of_a_grid_at_hand_read_no_table(spark):
     cells = spark.createDataFrame(rows, "ticker string, pos int, date date, close double, amount double")
     got = tables.scores(spark, "/no/such/folder", ["b"], cells).collect()
     assert sorted((r.model, r.pos, r.score) for r in got) == [("b", p, p / (p - 4) - 1.0) for p in (5, 6, 7)]
+
+
+def line_items(spark, path, n=900, hot=None):
+    """Line items of 12 suppliers over five weeks; a third of all rows may be one supplier's."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        supplier = hot if hot and i % 3 == 0 else rng.randrange(1, 13)
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(35))
+        rows.append((i // 4, supplier, i % 4, float(rng.randrange(1, 50)), rng.randrange(100, 99999) / 100, 0.05, day))
+    kind = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    spark.createDataFrame(rows, kind).write.parquet(f"{path}/lineitem.parquet")
+    return rows
+
+
+def test_scan_tasks_keep_no_table_of_bars(spark, tmp_path):
+    line_items(spark, tmp_path)
+    plan = plan_of(tables.bars(spark, str(tmp_path))).splitlines()
+    aggregates = [i for i, line in enumerate(plan) if "Aggregate" in line]
+    exchanges = [i for i, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1  # nothing is shuffled twice
+    assert max(aggregates) < exchanges[0]  # below stands only what scan tasks do
+
+
+def test_bars_of_a_supplier_with_a_third_of_all_rows(spark, tmp_path):
+    rows = line_items(spark, tmp_path, hot=7)
+    want = {}
+    for order, supplier, line, qty, amount, _, day in rows:
+        monday = (day - dt.timedelta(days=day.weekday())).date()
+        want.setdefault((str(supplier), monday), []).append((day, order, line, amount, qty))
+    found = {(r["ticker"], r["date"]): r for r in tables.bars(spark, str(tmp_path)).collect()}
+    assert found.keys() == want.keys()
+    for key, items in want.items():
+        items.sort()
+        assert found[key]["open"] == items[0][3] / items[0][4]
+        assert found[key]["close"] == items[-1][3] / items[-1][4]
+        assert found[key]["volume"] == sum(i[4] for i in items)
+
+
+def test_index_of_a_grid_at_hand_reads_no_table(spark):
+    cells = spark.createDataFrame([("a", dt.date(2024, 1, 1), 2.0), ("b", dt.date(2024, 1, 1), 4.0), ("b", dt.date(2024, 1, 8), None)], "ticker string, date date, close double")
+    found = {r["date"]: r["value"] for r in tables.index_level(spark, "/nowhere", cells).collect()}
+    assert found == {dt.date(2024, 1, 1): 3.0, dt.date(2024, 1, 8): None}
