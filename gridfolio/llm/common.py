@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +157,19 @@ def chunks(texts: list[str], size: int = 1 << 20) -> Iterator[list[int]]:
         yield group
 
 
+def pieces(batch: pa.RecordBatch, text: int, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``size`` bytes of text; a longer text is a slice of its own.
+
+    A task that takes a batch apart this way never has all its texts as Python strings, whose memory a worker keeps.
+    """
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(sizes, done + size, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at, done = end, int(sizes[end - 1])
+
+
 def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words of normalised texts, and the position of the text of each.
 

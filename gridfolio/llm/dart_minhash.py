@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.common import GOLDEN, chunks, components, mix, normal_words, shingle_hashes, smallest_reachable, stored, tile_pairs, uniform, whole_groups
+from gridfolio.llm.common import GOLDEN, chunks, components, mix, normal_words, pieces, shingle_hashes, smallest_reachable, stored, tile_pairs, uniform, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -100,17 +100,15 @@ def signed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, content, bands) of every row with words; ``content`` names the sequence of words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [normal_words(t) for t in batch.column(1).to_pylist()]
-            for group in chunks(texts):
-                group = [i for i in group if texts[i] and ids[i] is not None]
-                some = [texts[i] for i in group]
-                if not some:
-                    continue
-                bands = band_hashes(dart_signatures(*weighted_elements(some), len(some)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                content = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in some]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in group], pa.int64()), pa.array(content, pa.binary()), lists], ["id", "content", "bands"])
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            named = [(i, normal_words(t)) for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) if i is not None]
+            ids, some = [i for i, t in named if t], [t for _, t in named if t]
+            if not some:
+                continue
+            bands = band_hashes(dart_signatures(*weighted_elements(some), len(some)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+            content = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.binary()), lists], ["id", "content", "bands"])
 
     return documents.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(sign, "id long, content binary, bands array<long>")
 

@@ -196,7 +196,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic = [x or "" for x in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.int64)
-            for group in chunks(texts):
+            for group in chunks(texts, 1 << 18):  # their features are many times as large
                 t = tokens([texts[i] for i in group])
                 owner, name = np.repeat(t.text, t.features.shape[1]), t.features.ravel()
                 order = np.lexsort((owner, name))

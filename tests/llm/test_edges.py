@@ -607,3 +607,16 @@ def test_arrow_lists():
     from gridfolio.llm.chunk_ids import id_lists
 
     assert id_lists([np.array([1, 2], "<i4").tobytes(), b""]).to_pylist() == [[1, 2], []] and id_lists([]).type == pa.list_(pa.int32())
+
+
+def test_signatures_take_batches_apart():
+    import pyarrow as pa
+
+    from gridfolio.llm.common import pieces
+
+    texts = ["a" * 10, None, "", "é" * 30, "b" * 5, "c" * 5, "d" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    found = [p.column(0).to_pylist() for p in pieces(batch, 1, 10)]
+    assert found == [[0, 1, 2], [3], [4, 5], [6]]  # sizes are bytes; a long text is alone; nothing is lost
+    assert [p.column(0).to_pylist() for p in pieces(batch.slice(4), 1, 10)] == [[4, 5], [6]]
+    assert list(pieces(batch.slice(0, 0), 1, 10)) == []
