@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridfolio.sources.store import input_bytes
+
 #: pandas-style frequency -> Spark ``trunc`` unit (fixed values)
 PERIOD_UNITS = {
     "D": "day",
@@ -56,13 +58,41 @@ def calendar_of(dates: DataFrame, col: str = "date") -> DataFrame:
     )
 
 
-def in_parts(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows dealt by ``keys`` into as many parts as the session's shuffles have.
+#: bytes of input files for one part of dealt rows (fixed value); sorting them takes a task about 100 MB
+PART_BYTES = 8 * 2**20
+
+
+def usual_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_of(*read: DataFrame) -> int:
+    """As many parts as the session's shuffles have; more where the files that one of the tables reads ask for more.
+
+    A fixed number of parts would let the memory of a task grow with the table until it sorts and aggregates on disk.
+    """
+    return max(usual_parts(read[0]), *(-(-input_bytes(df) // PART_BYTES) for df in read))
+
+
+def in_parts(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """The rows dealt by ``keys`` into ``parts``, else as many as ``parts_of`` counts.
 
     Left to itself the optimiser joins parts until each is large as it is sent, before gaps are filled and windows add
     their columns, so that the memory of one task would grow with the table.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(parts or parts_of(df), *keys)
+
+
+def in_more_parts(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Dealt like ``in_parts``, but left to the optimiser where the session's shuffles have parts enough."""
+    parts = parts or parts_of(df)
+    return df.repartition(parts, *keys) if parts > usual_parts(df) else df
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of two large tables, both dealt by its keys where their files ask for more parts than shuffles have."""
+    parts = parts_of(left, right)
+    return in_more_parts(left, *keys, parts=parts).join(in_more_parts(right, *keys, parts=parts), list(keys), how)
 
 
 def dense_grid(

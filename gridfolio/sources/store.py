@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
+_LENGTHS: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +55,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads, each counted once; a folder is listed when one of its files is first seen."""
+    spark, names = df.sparkSession, df.inputFiles()
+    for folder in {n.rpartition("/")[0] for n in names if n not in _LENGTHS}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f"{folder}/"))
+        for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where):
+            _LENGTHS[f"{folder}/{f.getPath().toUri().getRawPath().rpartition('/')[2]}"] = f.getLen()
+    return sum(_LENGTHS.get(n, 0) for n in set(names))
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table and file that this session has put into the shared folder; returns how many.
 
