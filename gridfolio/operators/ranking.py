@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfolio.operators.calendar import parts_of, usual_parts
 from gridfolio.sources.store import stored
 
 C = F.col
@@ -27,7 +28,9 @@ C = F.col
 def in_ranges(df: DataFrame, keys: Sequence[str], order: str, tie: str) -> DataFrame:
     """The rows range-partitioned and sorted by (keys, order, tie), with ``range_no`` and ``row_no`` of their place."""
     sort_by = [C(c).asc_nulls_first() for c in dict.fromkeys([*keys, order, tie])]
-    placed = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    parts = parts_of(df)
+    dealt = df.repartitionByRange(parts, *sort_by) if parts > usual_parts(df) else df.repartitionByRange(*sort_by)
+    placed = dealt.sortWithinPartitions(*sort_by)
     return stored(placed.withColumns({"range_no": F.spark_partition_id(), "row_no": F.monotonically_increasing_id()}), "ranges")
 
 
