@@ -11,7 +11,7 @@ from gridfolio.functions.expr import rounded, significant
 from gridfolio.operators import alignment as al
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators import reports as rp
-from gridfolio.operators.calendar import per_day, rebalance_windows
+from gridfolio.operators.calendar import dealt_join, per_day, rebalance_windows
 from gridfolio.plans import portfolio_plans as pp
 from gridfolio.plans.portfolio_plans import BASE, BPS, CAP, COSTS, DN, IDX, run
 from gridfolio.plans.portfolio_sql import portfolio_views
@@ -384,7 +384,7 @@ def picks(spark, sf) -> DataFrame:
     dates = bt.windows.select("window_id", "signal_date", "entry_date", "exit_date")
     cells = sector_cells(spark, sf).select("ticker", C("date").alias("entry_date"), "sector")
     cells = cells.join(per_day(dates.select("entry_date"), "entry_date"), "entry_date", "left_semi")
-    cands = bt.candidates.join(per_day(dates, "window_id"), "window_id").join(cells, ["ticker", "entry_date"])
+    cands = dealt_join(bt.candidates.join(per_day(dates, "window_id"), "window_id"), cells, ["ticker", "entry_date"])
     out = rp.sector_picks(cands).join(per_day(dates, "window_id"), "window_id")
     return out.select(
         "signal_date", "entry_date", "exit_date", "sector", "long_ticker", rounded(C("long_return")).alias("long_return"),
@@ -446,7 +446,7 @@ def sector_candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
         cands = pf.candidates(panel, one, {"all": "score_b"}).drop("run")
         dates = one.select("window_id", "entry_date")
         cells = cells.join(per_day(dates.select("entry_date"), "entry_date"), "entry_date", "left_semi")
-        placed = cands.join(per_day(dates, "window_id"), "window_id").join(cells, ["ticker", "entry_date"])
+        placed = dealt_join(cands.join(per_day(dates, "window_id"), "window_id"), cells, ["ticker", "entry_date"])
         placed = placed.where(C("run").isNotNull()).select("run", "window_id", "ticker", "score", "cap", "entry", "exit")
         pp._PANELS[key] = (stored(windows, "sector-windows"), stored(placed, "sector-candidates"))
     return pp._PANELS[key]
