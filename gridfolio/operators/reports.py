@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions.expr import div
-from gridfolio.operators.calendar import per_day
+from gridfolio.operators.calendar import dealt_join, in_more_parts, per_day
 
 C = F.col
 KEY = ["run", "group_id"]
@@ -218,7 +218,7 @@ def with_sector(positions: DataFrame, sector_cells: DataFrame) -> DataFrame:
     dates = positions.select("entry_date").distinct()
     cells = sector_cells.select("ticker", C("date").alias("entry_date"), "sector")
     cells = cells.join(per_day(dates, "entry_date"), "entry_date", "left_semi")
-    return positions.join(cells, ["ticker", "entry_date"], "left")
+    return dealt_join(positions, cells, ["ticker", "entry_date"], "left")
 
 
 def sector_weights(positions: DataFrame, value: str = "entry_value") -> DataFrame:
@@ -264,7 +264,7 @@ def stability(holdings: DataFrame) -> DataFrame:
     ``holdings``: leg, sector, entry_date, ticker. A name is in both sets when its
     own previous date is the previous date of its sector, so there is no self join.
     """
-    held = holdings.distinct()
+    held = in_more_parts(holdings, "leg", "sector", "ticker").distinct()
     sizes = held.groupBy("leg", "sector", "entry_date").agg(F.count(F.lit(1)).alias("n"))
     line = Window.partitionBy("leg", "sector").orderBy("entry_date")  # dates only
     steps = sizes.withColumn("prev_date", F.lag("entry_date").over(line)).withColumn("prev_n", F.lag("n").over(line))
