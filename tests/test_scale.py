@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,13 @@ from gridfolio.operators import evaluation as ev
 from gridfolio.operators import portfolio as pf
 from gridfolio.operators import samples as sm
 from gridfolio.operators import scenarios as scn
+from gridfolio.operators import calendar as cl
 from gridfolio.operators.calendar import calendar_of, dense_grid, period_start
 from gridfolio.operators.panels import rolling_sums
+from gridfolio.operators.ranking import in_ranges
 from gridfolio.operators.strategies import ChosenGroups, selected
+from gridfolio.plans import portfolio_plans as pp
+from gridfolio.plans import report_plans as rpl
 from gridfolio.sources import tables
 from gridfolio.sources.store import stored
 
@@ -308,6 +313,59 @@ def test_windows_of_a_grid_run_in_as_many_parts_as_shuffles_have(spark):
     assert rolled.rdd.getNumPartitions() == parts and rolled.count() == 48
 
 
+def test_parts_follow_the_files_that_are_read(spark, tmp_path, monkeypatch):
+    """With a fixed number of parts, the memory of a task grew with the table until it spilled."""
+    path = f"{tmp_path}/a table.parquet"
+    spark.range(20_000).selectExpr("cast(id as string) as ticker", "cast(id % 7 as int) as g", "id as v").repartition(3).write.parquet(path)
+    rows, usual = spark.read.parquet(path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(f.stat().st_size for f in (tmp_path / "a table.parquet").glob("part-*"))
+    assert cl.parts_of(rows) == usual and cl.in_more_parts(rows, "ticker") is rows
+    monkeypatch.setattr(cl, "PART_BYTES", size // 9)
+    assert cl.parts_of(rows, rows.limit(1)) == cl.parts_of(rows.unionByName(rows)) == -(-size // (size // 9)) > usual
+    assert cl.in_parts(rows, "ticker").rdd.getNumPartitions() == cl.parts_of(rows)
+    assert cl.parts_of(spark.createDataFrame([(1,)], "v int")) == usual  # no file at all
+    both = cl.dealt_join(rows, rows.select("ticker", F.col("v").alias("w")), ["ticker"])
+    assert both.where("v = w").count() == 20_000
+    assert in_ranges(rows, ["g"], "v", "ticker").agg(F.max("range_no")).first()[0] >= usual
+
+
+def test_days_and_holdings_meet_in_the_parts_of_the_panel(spark, tmp_path, monkeypatch):
+    """Neither side of the join is dealt a second time to fit the other, and the values are those of few parts."""
+    cells = [(f"t{i}", k + 1, 10.0 + i + k) for i in range(12) for k in range(6)]
+    spark.createDataFrame(cells, "ticker string, pos int, close double").write.parquet(f"{tmp_path}/panel")
+    panel = spark.read.parquet(f"{tmp_path}/panel")
+    windows = spark.createDataFrame([("r", 1, 1, 3), ("r", 2, 3, 6)], "run string, window_id int, entry_pos int, exit_pos int")
+    held = [("r", w, "q1", f"t{i}", 1.0 / 12, 10.0 + i + p) for w, p in ((1, 0), (2, 2)) for i in range(12)]
+    positions = spark.createDataFrame(held, "run string, window_id int, group_id string, ticker string, share double, entry double")
+    ends = spark.createDataFrame([("r", 1, "q1", 1.1), ("r", 2, "q1", 1.2)], "run string, window_id int, group_id string, raw_factor double")
+
+    def paths():
+        parts = cl.parts_of(panel)
+        found = pf.daily_paths(positions, pf.window_days(panel, windows, positions, parts), ends, pf.Rules(), parts)
+        return parts, plan_of(found), found.collect()
+
+    few, _, want = paths()
+    monkeypatch.setattr(cl, "PART_BYTES", 100)
+    many, plan, got = paths()
+    assert many > few
+    assert f"hashpartitioning(ticker, window_id, {few})" not in re.sub(r"#\d+L?", "", plan)
+    same_rows(got, want)
+
+
+@pytest.mark.parametrize("query", [rpl.agg13, rpl.agg19])
+def test_queries_in_many_parts_give_the_same_rows(spark, monkeypatch, query):
+    data = "/root/testdata/sf0.001"
+    pp.forget()
+    want = query(spark, data).collect()
+    monkeypatch.setattr(cl, "PART_BYTES", 20_000)
+    pp.forget()
+    try:
+        got = query(spark, data).collect()
+    finally:
+        pp.forget()
+    same_rows(got, want)
+
+
 def test_blocks_of_tickers_of_any_name_or_none(spark):
     names = ["a", "0|a", "|a", "1", "", None]
     rows = [(n, p, DAY + dt.timedelta(days=p), float(10 * i + p)) for i, n in enumerate(names) for p in range(1, 6)]
