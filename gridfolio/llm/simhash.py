@@ -161,7 +161,8 @@ def close_prints(queries: DataFrame, prints: DataFrame, radius: int) -> DataFram
     # a bit above a narrower block makes a key that no print has
     ask = keys(queries).select("high", "low", "t", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
     give = keys(prints).select(F.col("high").alias("high2"), F.col("low").alias("low2"), "t", "key")
-    close = ask.join(give, ["t", "key"]).withColumn("bits", distance((F.col("high"), F.col("low")), (F.col("high2"), F.col("low2"))))
+    # stated: the optimiser takes the keys asked for to be as few as their queries and would gather all of them on the driver
+    close = ask.hint("merge").join(give, ["t", "key"]).withColumn("bits", distance((F.col("high"), F.col("low")), (F.col("high2"), F.col("low2"))))
     other = binary(F.col("high").bitwiseXOR(F.col("high2")), F.col("low").bitwiseXOR(F.col("low2")))
     near = F.array(*[F.length(F.replace(F.substring(other, *x), F.lit("0"), F.lit(""))) <= flips for x in spans])
     return close.where(F.col("bits") <= radius).where(F.array_position(near, True) - 1 == F.col("t")).select("high", "low", "high2", "low2", "bits")

@@ -486,6 +486,16 @@ def test_votes_by_hand(spark):
             assert got[k][side] & (2**64 - 1) == bits
 
 
+def test_search_broadcasts_nothing(spark):
+    """A query asks for 27 keys of each of five tables; a few queries were taken for a small table and gathered on the driver with all their keys."""
+    prints = spark.range(3_000).selectExpr("id", "xxhash64(id) as high", "xxhash64(id, 1) as low")
+    asked = prints.where("id < 20").selectExpr("id as query", "high", "low")
+    found = simhash.close_prints(asked, prints, simhash.RADIUS)
+    assert {(r.high, r.low) for r in found.where("bits = 0").collect()} == {(r.high, r.low) for r in asked.collect()}
+    found.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_within_radius(spark):
     rng, rows = random.Random(11), []
     for _ in range(40):
