@@ -179,6 +179,41 @@ def test_strategies_inside_sectors_and_their_checks(data):
         selected({})
 
 
+def test_strategies_by_place_have_no_largest_cross_section(spark, data):
+    """A cross-section of more than ``max_rows`` names ended the job, whatever its callable asked for."""
+    from gridfolio.plans import scale_plans as sp
+
+    def fifths(scores):
+        if len(scores) < 20:
+            return {}, f"Only {len(scores)} names."
+        ordered = scores.sort_values(kind="mergesort").index
+        return {"low": ordered[: len(ordered) // 5], "odd": ordered[::-2], "ends": [ordered[0], *ordered[-2:], ordered[0]]}
+
+    for groups, choose in ((("low", "odd", "ends"), fifths), (("core", "tails"), sp.core_and_tails)):
+        seen, unseen, some = (ev.evaluate(data, pf.Rules(strategy=ChosenGroups(choose, groups, n)), "W") for n in (100, 0, 20))
+        for bt in (unseen, some):
+            for what, cols in (("members", ["run", "window_id", "group_id", "ticker", "score"]), ("notes", ["run", "window_id", "n", "note"])):
+                assert sorted(map(tuple, getattr(bt, what).select(*cols).collect()), key=repr) == sorted(map(tuple, getattr(seen, what).select(*cols).collect()), key=repr)
+    # 60 names, twelve to a score, one without a ticker: ties go by ticker and that one is the last of its score
+    scored = spark.createDataFrame([("r", 1, f"t{i:02d}" if i != 30 else None, float(i % 5)) for i in range(60)], "run string, window_id int, ticker string, score double")
+    found = [{(r.group_id, r.ticker) for r in ChosenGroups(sp.core_and_tails, ("core", "tails"), n).decide(scored, pf.WIN).where("ticker <> 'None'").collect()} for n in (60, 59)]
+    assert found[0] == found[1] and len(found[0]) == 16
+
+
+@pytest.mark.parametrize(
+    "choose",
+    [
+        lambda s: {"all": s.sort_values().index}, lambda s: {"all": s.sort_values(kind="mergesort", ascending=False).index}, lambda s: {"all": s[s > 0].index}, lambda s: {"all": s.nlargest(2).index},
+        lambda s: {"all": ["t01"]}, lambda s: {"all": [x for x in s.sort_values(kind="stable").index if x != "t01"]}, lambda s: ({}, f"best is {s.sort_values(kind='stable').index[-1]}"),
+        lambda s: {"all": ["t01"] if "t01" in s.sort_values(kind="stable").index[:9] else []}, lambda s: {"all": s.index[:3]} if np.mean(s) > 0 else {},
+    ],
+)
+def test_what_is_not_at_hand_is_refused(spark, choose):
+    scored = spark.createDataFrame([("r", 1, f"t{i:02d}", float(i)) for i in range(24)], "run string, window_id int, ticker string, score double")
+    with pytest.raises(Exception, match="names is more than 4"):
+        ChosenGroups(choose, ("all",), 4).decide(scored, pf.WIN).collect()
+
+
 # ------------------------------------------------------------------ blocks
 
 
