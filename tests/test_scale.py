@@ -23,6 +23,7 @@ from gridfolio.operators import scenarios as scn
 from gridfolio.operators import calendar as cl
 from gridfolio.operators.calendar import calendar_of, dense_grid, period_start
 from gridfolio.operators.panels import rolling_sums
+from gridfolio.operators import ranking as rk
 from gridfolio.operators.ranking import in_ranges
 from gridfolio.operators.strategies import ChosenGroups, selected
 from gridfolio.plans import portfolio_plans as pp
@@ -124,6 +125,48 @@ def test_option_sets_equal_single_evaluations(data):
                 same_rows(clean(got), clean(want.loc[want.index == model]))
 
 
+def test_more_option_sets_write_no_more_rows_of_tickers(spark, data, monkeypatch):
+    """Priced members and positions were written, and dealt to their days, once per option set."""
+    one = {"quantiles": 3, "min_assets": 6, "weighting": "cap", "costs": COSTS}
+    inside = {"quantiles": 2, "min_assets": 3, "sector_neutral": True, "sector_unit": True}
+
+    def written(sets):
+        rows = {}
+
+        def noted(df, label):
+            table = stored(df, label)
+            if "ticker" in df.columns:
+                rows[label] = rows.get(label, 0) + table.count()
+            return table
+
+        for module in (scn, pf, rk):
+            monkeypatch.setattr(module, "stored", noted)
+        every = scn.Scenarios(data, sets)
+        assert every.trades.count() and every.equity.count()
+        return rows, {r.run: r.factor for r in every.trades.where("run like '%0:x'").groupBy("run").agg(F.sum("factor").alias("factor")).collect()}, every
+
+    few, want, _ = written({"a0": one, "b0": inside})
+    many, got, every = written({f"{n}{i}": o | {"capital": 100.0 + i} for i in range(4) for n, o in (("a", one), ("b", inside))})
+    assert many == few and set(few) == {"cells", "ranges"} and got == pytest.approx(want)
+    plan = re.sub(r"#\d+L?", "", plan_of(every.paths.groupBy("run").count()) + plan_of(every.positions))
+    assert "hashpartitioning(ticker" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("rules", [dict(quantiles=q, min_assets=q) for q in (1, 3, 7, 10)] + [dict(top_n=4, bottom_n=3, min_assets=1), dict(quantiles=6, allow_partial=True)])
+def test_limits_are_where_ranks_change_their_group(spark, rules):
+    """Cross-sections of 1 to 60 names with ties, each in one window."""
+    dates = days(61)
+    close = [(d, f"t{i:02d}", 10.0 + i) for d in dates for i in range(60)]
+    scores = [(d, f"t{i:02d}", float(i * 7 % 5)) for k, d in enumerate(dates) for i in range(k)]
+    rows = lambda x, v: spark.createDataFrame(x, f"date date, ticker string, {v} double")
+    panel = rows(close, "close").join(rows(scores, "score_0"), ["date", "ticker"], "left").join(calendar_of(rows(close, "close")), "date").withColumns({"open": F.col("close"), "cap": F.col("close")})
+    every = scn.Scenarios(ev.Data(stored(panel, "panel"), calendar_of(panel), {"x": "score_0"}), {"s": rules | {"freq": "D"}})
+    ruled = every.rules.on(every.ranked.withColumn("run", F.lit("s:x"))).where(scn.forms_groups(F.col("n"))).withColumn("group_id", scn.group_of(F.col("rank"), F.col("n")))
+    want = ruled.where("group_id is not null").select("window_id", "group_id", "ticker").collect()
+    got = every.members.select("window_id", "group_id", "ticker").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 300
+
+
 def test_option_sets_share_rankings_and_schedules(data):
     plan = scn.planned({f"c{i}": {"quantiles": q, "min_assets": 20, "costs": pf.Costs(float(i))} for i, q in enumerate([2, 3, 4, 5] * 5)}, data.models)
     assert len(plan.runs) == 40 and len(plan.rankings) == 2 and plan.schedules == [("M", 0)]
