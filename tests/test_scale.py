@@ -152,6 +152,19 @@ def test_more_option_sets_write_no_more_rows_of_tickers(spark, data, monkeypatch
     assert "hashpartitioning(ticker" not in plan and "SortMergeJoin" not in plan
 
 
+def test_option_sets_over_sectors_that_come_twice(data):
+    """A ticker of two rows is two of its section; a group may end between them."""
+    twice = ev.Data(data.panel, data.calendar, {"x": data.models["x"]}, None, data.sectors.unionByName(data.sectors))
+    inside = dict(quantiles=2, top_n=1, bottom_n=2, min_assets=3, sector_neutral=True)
+    every = scn.Scenarios(twice, {"inside": inside, "ends": dict(top_n=3, bottom_n=1, min_assets=5)})
+    alone = ev.evaluate(twice, pf.Rules(**inside))
+    cols = ["window_id", "group_id", "ticker", "score", "sector"]
+    got = every.members.where("run = 'inside:x'").select(*cols).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, alone.members.select(*cols).collect()), key=repr) and len(got) > 20
+    sizes = every.members.where("run = 'ends:x'").groupBy("window_id", "group_id").count().collect()
+    assert sizes and {(r.group_id, r["count"]) for r in sizes} == {("q1", 1), ("q5", 3)}
+
+
 @pytest.mark.parametrize("rules", [dict(quantiles=q, min_assets=q) for q in (1, 3, 7, 10)] + [dict(top_n=4, bottom_n=3, min_assets=1), dict(quantiles=6, allow_partial=True)])
 def test_limits_are_where_ranks_change_their_group(spark, rules):
     """Cross-sections of 1 to 60 names with ties, each in one window."""
